@@ -163,7 +163,7 @@ def outstanding_checks(
     )
     raw = records_raw.select(F.col("id").alias("raw_id"), "origination_account_id")
     cleared = statement.select(
-        F.col("id").alias("bank_id"), F.col("date").alias("bt_date"), F.round("signed_amount", 2).alias("bt_amount")
+        F.col("id").alias("bank_id"), F.col("date").alias("bt_date"), F.round("signed_amount", 2).cast("decimal(18,2)").alias("bt_amount")
     )
     # Where the cheque cleared: reconciliations first meet the bank, then the cheque.
     clearing = left_join_spreading_nulls(
