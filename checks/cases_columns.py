@@ -195,8 +195,8 @@ FROM {penalty_cases} pc LEFT JOIN {agents} a ON pc.agent_id = a.id""",
             "id",
             "transaction_category",
             labels.inclusion_flag(
-                c("reconciled"), c("transaction_category"), c("bank_account"), c("bank_transaction_date"), c("owner"),
-                P.EXCLUDED_COMPANIES,
+                c("reconciled"), c("transaction_category"), c("bank_account"), c("bank_transaction_date"),
+                c("owner").isNotNull() & labels.none_of(c("owner"), P.EXCLUDED_COMPANIES),
             ).alias("flag"),
         ),
         """SELECT pr.id, e.transaction_category, CASE WHEN coalesce(reconciled, FALSE)

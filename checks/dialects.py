@@ -8,7 +8,7 @@ SPARK = {
     "money": lambda x: f"format_number({x}, 2)",
     "days": "SELECT explode(sequence(DATE '2018-01-01', DATE '2025-12-31', INTERVAL 1 DAY)) AS date",
     "month_name": lambda d: f"date_format({d}, 'MMMM')",
-    "cents": lambda x: f"CAST({x} * 100 AS BIGINT)",
+    "each": lambda *values: f"explode(array({', '.join(values)}))",
 }
 DUCKDB = {
     "ts": "TIMESTAMP",
@@ -18,5 +18,5 @@ DUCKDB = {
     "money": lambda x: f"format('{{:,.2f}}', CAST({x} AS DOUBLE))",
     "days": "SELECT CAST(unnest(range(DATE '2018-01-01', DATE '2026-01-01', INTERVAL 1 DAY)) AS DATE) AS date",
     "month_name": lambda d: f"strftime({d}, '%B')",
-    "cents": lambda x: f"CAST({x} * 100 AS BIGINT)",
+    "each": lambda *values: f"unnest([{', '.join(values)}])",
 }

@@ -139,7 +139,7 @@ SELECT date, {d["month_name"]("date")} AS month_name, CAST(year(date) AS INT) AS
     q["bank_transactions_raw"] = f"""
 SELECT o_orderkey * 10 AS id, {bank_day} AS date, {_account(2)} AS origination_account_id,
   CASE WHEN o_orderkey % 31 = 0 THEN 6 WHEN {is_debit} THEN 4 ELSE 2 END AS transaction_type,
-  {d["cents"](total)} AS amount,
+  CAST({total} * 100 AS BIGINT) AS amount,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'SWEEP OUT TO 555000111' WHEN '2-HIGH' THEN 'SWEEP IN FROM 555000222'
     WHEN '3-MEDIUM' THEN 'WIRE TRANSFER' ELSE 'ACH BATCH' END AS description,
   {_pick("o_orderkey", ["'ACH Credit'", "'ACH Debit'", "'Wire'"])} AS type_description,
@@ -160,10 +160,9 @@ SELECT {_account(1)} AS bank_account, {_account(2)} AS origination_account_id,
   CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE o_orderstatus <> 'P' END AS reconcile_flag,
   {bank_day} AS transaction_date, CASE WHEN {is_debit} THEN {total} ELSE -{total} END AS transaction_signed_amount
 FROM {{orders}}"""
-    q["payment_record_reconciliation_groups"] = """
-SELECT o_orderkey AS payment_record_id, o_orderkey AS reconciliation_group_id FROM {orders}
-UNION ALL
-SELECT o_orderkey, o_orderkey - o_orderkey % 4 FROM {orders}"""
+    q["payment_record_reconciliation_groups"] = f"""
+SELECT o_orderkey AS payment_record_id, {d["each"]("o_orderkey", "o_orderkey - o_orderkey % 4")} AS reconciliation_group_id
+FROM {{orders}}"""
     q["reconciliation_groups"] = """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 13 = 0 THEN 'inactive' ELSE 'active' END AS state FROM {orders}"""
     q["bank_transaction_reconciliation_groups"] = """
@@ -228,13 +227,13 @@ SELECT o_orderkey * 2 + side AS id, o_custkey AS on_behalf_of_id, {day} AS date,
   CASE WHEN side = 0 THEN -{total} ELSE {total} END AS signed_amount,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE {total} END AS payment_record_entries_sum,
   o_orderkey % 23 <> 0 AS reconciled
-FROM (SELECT *, 0 AS side FROM {{orders}} UNION ALL SELECT *, 1 AS side FROM {{orders}}) AS both_sides"""
-    q["transfer_entries"] = """
+FROM (SELECT *, {d["each"]("0", "1")} AS side FROM {{orders}}) AS both_sides"""
+    q["transfer_entries"] = f"""
 SELECT o_orderkey * 2 + side AS payment_record_id,
   CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_orderkey END AS event_id, 'Transfer' AS event_type,
   CASE o_orderkey % 3 WHEN 0 THEN 'Balance Transfer' WHEN 1 THEN 'Internal Transfer' ELSE 'Balance Transfer' END
     AS transaction_category
-FROM (SELECT o_orderkey, 0 AS side FROM {orders} UNION ALL SELECT o_orderkey, 1 AS side FROM {orders}) AS both_sides"""
+FROM (SELECT o_orderkey, {d["each"]("0", "1")} AS side FROM {{orders}}) AS both_sides"""
     q["penalty_groups"] = f"""
 SELECT c_custkey AS id, CASE WHEN c_custkey % 12 = 0 THEN NULL ELSE c_custkey END AS penalty_case_id,
   CAST(DATE '2023-01-01' + CAST(c_custkey % 300 AS INT) AS {ts}) AS created_at,
@@ -316,7 +315,7 @@ FROM {recovery_receivable_credit_delinquencies_snapshot}"""
     # Cases older than the 180-day limit have a bad-debt transfer.
     q["bad_debt_transfers_snapshot"] = """
 SELECT snapshot_date, bank_transaction_date - CAST(event_id % 60 AS INT) AS effective_date,
-  CASE WHEN event_id % 3 = 0 THEN 'FY24' WHEN event_id % 3 = 1 THEN 'FY25' ELSE 'FY26' END AS fiscal_year_written_off,
+  CASE WHEN event_id % 7 < 2 THEN 'FY24' WHEN event_id % 7 < 5 THEN 'FY25' ELSE 'FY26' END AS fiscal_year_written_off,
   CASE WHEN event_id % 4 = 1 THEN 'rejected' ELSE 'pending' END AS override_status, company_id,
   pi_id AS bad_debt_id, CAST(-balance AS DECIMAL(18,2)) AS bad_debt_amount, balance AS payment_event_balance_amount,
   id_category_concat, event_id AS inv_or_event_id, event_type, transaction_category
@@ -350,7 +349,7 @@ SELECT DISTINCT pi_id AS id, event_id, event_type, pi_category AS category, tran
   CASE WHEN event_id % 43 = 0 THEN NULL ELSE CAST(DATE '2023-10-05' - pi_age_in_days AS {ts}) END AS created_at
 FROM {{recovery_receivable_snapshot}}"""
     q["payment_investigations_raw"] = """
-SELECT id, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'open' WHEN 2 THEN 'false_positive' WHEN 3 THEN 'awaiting_bad_debt_funds'
+SELECT id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'open' WHEN 2 THEN 'false_positive' WHEN 3 THEN 'awaiting_bad_debt_funds'
   WHEN 4 THEN 'awaiting_external_dependency' ELSE 'recovered' END AS status, event_id % 100 AS company_id, created_at
 FROM {payment_investigations}"""
     q["payment_event_balances"] = """
@@ -391,7 +390,7 @@ SELECT DISTINCT o_orderpriority AS pay_period, CASE o_orderpriority WHEN '1-URGE
 FROM {orders}"""
     q["monthly_employees"] = """
 SELECT user_id, CASE event_id % 3 WHEN 0 THEN DATE '2024-09-01' WHEN 1 THEN DATE '2024-10-01' ELSE DATE '2024-11-01' END
-  AS for_month, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value > 60 END AS wallet_user
+  AS for_month, CASE WHEN event_id % 13 = 0 THEN NULL ELSE value > 200 END AS wallet_user
 FROM {events}"""
     q["track_events"] = f"""
 SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'FinishedRunningPayroll' WHEN 'click' THEN 'LoginClicked'
@@ -399,7 +398,7 @@ SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'FinishedRunningP
   {_pick("event_id", ["'iOS'", "'Android'", "'Mac OS X'", "'Windows'", None])} AS os_name,
   {_pick("event_id", ["'Computer'", "'Mobile'", "'Tablet'"])} AS device_type,
   CASE WHEN event_id % 40 = 0 THEN 'https//go.xero.com/' WHEN event_id % 40 = 1 THEN 'https://appcenter.intuit.com/'
-    ELSE 'https://example.test/' END AS referral_url, value < 20 AS has_signed_in
+    ELSE 'https://example.test/' END AS referral_url, value < 1 AS has_signed_in
 FROM {{events}}"""
     q["monthly_features"] = """
 SELECT o_custkey AS company_id, CASE o_orderkey % 4 WHEN 0 THEN DATE '2024-08-01' WHEN 1 THEN DATE '2024-09-01'
@@ -448,9 +447,11 @@ def _sources_of(sql: str, names) -> list[str]:
 class Tables:
     """Fixture tables of one data folder as lazy DataFrames: ``tables.payment_records``."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, stored: str | None = None):
+        """``stored`` names a folder that holds the fixtures as Parquet tables."""
         self.spark = spark
         self.folder = folder
+        self.stored = stored
         self._known: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -463,11 +464,24 @@ class Tables:
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if self.stored:
+            return self.spark.read.parquet(f"{self.stored}/{name}")
         sql = SPARK_SQL[name]
         sources = _sources_of(sql, (*BASE_TABLES, *SPARK_SQL))
         return self.spark.sql(sql, **{source: getattr(self, source) for source in sources})
 
 
+def store(spark: SparkSession, folder: str, target: str) -> None:
+    """Write every fixture as a Parquet table, dated tables partitioned by their date."""
+    derived = Tables(spark, folder)
+    for name in SPARK_SQL:
+        table = getattr(derived, name)
+        writer = table.write.mode("overwrite")
+        if "snapshot_date" in table.columns and name.endswith("_snapshot"):
+            writer = writer.partitionBy("snapshot_date")
+        writer.parquet(f"{target}/{name}")
+
+
 def with_fixtures(sql: str) -> str:
     """Put the fixtures that a DuckDB statement names as ``{name}`` in front of it."""
     needed: dict[str, None] = {}

@@ -127,17 +127,18 @@ def inclusion_flag(
     category: Column,
     bank_account: Column,
     bank_date: Column,
-    owner_id: Column,
-    excluded_owners: Sequence,
+    owner_counts: Column,
 ) -> Column:
-    """Whether an entry belongs to the cash chain; an unknown answer counts as excluded."""
+    """Whether an entry belongs to the cash chain; an unknown answer counts as excluded.
+
+    ``owner_counts``: the entry has an owner, and not an excluded one.
+    """
     belongs = (
         reconciled
         & category.isNotNull()
         & none_of(category, K.NON_EVENT_CATEGORIES)
         & like_none(bank_account, K.NON_OPERATING_PATTERNS)
         & bank_date.isNotNull()
-        & owner_id.isNotNull()
-        & none_of(owner_id, excluded_owners)
+        & owner_counts
     )
     return F.when(belongs, "Should Include").otherwise("Excluded")

@@ -11,6 +11,7 @@ from tallybook.functions.amounts import bank_signed_amount, parse_paren_amount
 from tallybook.functions.dates import parse_date_or_null, parse_mixed_date
 from tallybook.functions.labels import none_of
 from tallybook.operators.filters import operating_account_filter
+from tallybook.operators.joins import left_join_repeating
 
 ENTRY_COLUMNS = (
     "payment_record_id", "transaction_category", "event_id", "event_type", "on_behalf_of_id",
@@ -31,7 +32,7 @@ def payment_entries(
         "transmission_type", "transaction_type", "payment_record_entries_sum",
     )
     entries = entries.select(*ENTRY_COLUMNS)
-    return records.join(entries, F.col("id") == F.col("payment_record_id"), "left")
+    return left_join_repeating(records, entries, [("id", "payment_record_id")])
 
 
 def event_entries(entries: DataFrame, excluded_owners: Sequence[int] = ()) -> DataFrame:

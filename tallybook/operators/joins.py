@@ -12,10 +12,12 @@ NULL_KEY_SLICES = 256
 def left_join_spreading_nulls(
     left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
 ) -> DataFrame:
-    """Left outer equi-join that scatters left rows with a NULL key.
+    """Left outer equi-join to a side with few rows per key, scattering left rows with a NULL key.
 
     ``on`` pairs a left column with a right column; the names of both sides must not
-    clash. The slice of a row follows from its content, so a retried task repeats it.
+    clash. The slice of a row follows from its content, so a retried task repeats it. A
+    frequent key on the left is split at run time; for one on the right see
+    :func:`left_join_repeating`.
     """
     left_keys = [F.col(name) for name, _ in on]
     some_null = F.lit(False)
@@ -33,6 +35,41 @@ def left_join_spreading_nulls(
     return spread.join(fixed, condition, "left").drop("_slice", "_right_slice")
 
 
+def left_join_repeating(
+    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """Left outer equi-join to a side where one key may hold any share of the rows.
+
+    Spark splits a frequent key on the right of an inner join at run time, but not on the
+    right of an outer one. So partners come from an inner join and rows without partner
+    from an anti join on de-duplicated keys. ``left`` is planned twice; keep it cheap.
+    """
+    partners = left.join(right, _equal(on), "inner")
+    keys = right.select(*[F.col(name) for _, name in on]).distinct()
+    alone = left.join(keys, _equal(on), "left_anti").select(
+        "*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema]
+    )
+    return partners.unionByName(alone)
+
+
+def _equal(on: Sequence[tuple[str, str]]) -> Column:
+    condition = F.lit(True)
+    for left_name, right_name in on:
+        condition = condition & (F.col(left_name) == F.col(right_name))
+    return condition
+
+
+def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
+    """Emit each row as often as the column says, without ever building one long array."""
+    chunk = 100_000
+    chunks = F.ceil(F.col(copies) / F.lit(chunk)).cast("long")
+    numbered = df.withColumn("_chunk", F.explode(F.sequence(F.lit(1).cast("long"), chunks)))
+    inside = F.least(F.lit(chunk).cast("long"), F.col(copies) - (F.col("_chunk") - 1) * chunk)
+    return numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).drop(
+        "_chunk", "_copy", copies
+    )
+
+
 def credit_loss_lookup(
     receivables: DataFrame, credit: DataFrame, key: Column, credit_key: Column
 ) -> DataFrame:
@@ -52,8 +89,11 @@ def investigation_with_category(
     )
     categories = event_balances.select(F.col("id").alias("_id"), "transaction_category")
     # Bridge and balances first: the balance id is unique, so this join does not grow.
-    named = links.join(categories, F.col("_balance_id") == F.col("_id"), how).drop("_id", "_balance_id")
-    return investigations.join(named, F.col("id") == F.col("_investigation"), how).drop("_investigation")
+    if how == "inner":
+        named = links.join(categories, F.col("_balance_id") == F.col("_id"), "inner").drop("_id", "_balance_id")
+        return investigations.join(named, F.col("id") == F.col("_investigation"), "inner").drop("_investigation")
+    named = left_join_spreading_nulls(links, categories, [("_balance_id", "_id")]).drop("_id", "_balance_id")
+    return left_join_repeating(investigations, named, [("id", "_investigation")]).drop("_investigation")
 
 
 def polymorphic_join(
@@ -63,7 +103,7 @@ def polymorphic_join(
 
     The OR of equalities becomes one equi-join: every left row lists the pairs it has a
     key for and is joined once per pair. For a left join the pairs without partner are
-    dropped first, so a row that matches nothing is kept exactly once.
+    dropped first, so a row left without pairs is known to match nothing and kept once.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -95,17 +135,18 @@ def polymorphic_join(
             ]
         )
     )
-    explode = F.explode_outer if how == "left" else F.explode
-    listed = left.withColumn("_candidate", explode(candidates)).drop(
-        *[f"_partner_{n}" for n in range(len(pairs))]
-    )
-    keyed = listed.withColumns(
-        {"_want_id": F.col("_candidate.id"), "_want_type": F.col("_candidate.type")}
-    ).drop("_candidate")
-    on = [("_want_id", "_record_id"), ("_want_type", "_record_type")]
-    if how == "left":
-        joined = left_join_spreading_nulls(keyed, records, on)
-    else:
-        joined = keyed.join(records, [F.col(a) == F.col(b) for a, b in on], "inner")
     kept = [c for c in left.columns if not c.startswith("_partner_")]
-    return joined.select(*kept, *record_columns)
+    listed = left.withColumn("_candidates", candidates)
+    wanted = listed.withColumn("_candidate", F.explode("_candidates")).withColumns(
+        {"_want_id": F.col("_candidate.id"), "_want_type": F.col("_candidate.type")}
+    )
+    # An inner join, so that a frequent record on either side is split at run time.
+    partners = wanted.join(
+        records, _equal([("_want_id", "_record_id"), ("_want_type", "_record_type")]), "inner"
+    ).select(*kept, *record_columns)
+    if how == "inner":
+        return partners
+    alone = listed.filter(F.size("_candidates") == 0).select(
+        *kept, *[F.lit(None).cast(records.schema[c].dataType).alias(c) for c in record_columns]
+    )
+    return partners.unionByName(alone)

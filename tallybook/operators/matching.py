@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.operators.joins import left_join_spreading_nulls
+from tallybook.operators.joins import left_join_spreading_nulls, repeat_rows
 
 MATCHED = "Matched"
 UNMATCHED_BANK = "Unmatched BT"
@@ -104,20 +104,31 @@ def priority_match(
 ) -> DataFrame:
     """Label base rows by the first population that holds their ``uid``.
 
-    Each population brings a ``uid`` column. A key that occurs twice in a population
-    gives two rows, as the reports expect.
+    Each population brings a ``uid`` column. A key that occurs n times in a population
+    gives n rows, as the reports expect. Keys are counted before the join, so each join
+    meets one row per key, and the copies are made at the end.
     """
     text = F.when(F.lit(False), F.lit(None).cast("string"))
     rank = F.when(F.lit(False), F.lit(None).cast("int"))
+    copies = F.lit(1).cast("long")
     columns = base.columns
     for number, (population, name) in enumerate(populations, 1):
-        mark = f"_uid_{number}"
-        keys = population.select(F.col("uid").alias(mark))
-        base = base.join(keys, F.col("uid") == F.col(mark), "left")
-        text = text.when(F.col(mark).isNotNull(), name)
-        rank = rank.when(F.col(mark).isNotNull(), number)
-    return base.select(
+        joined, held = f"_uid_{number}", f"_n_{number}"
+        base = base.join(
+            key_counts(population).toDF(joined, held), F.col("uid") == F.col(joined), "left"
+        )
+        text = text.when(F.col(held).isNotNull(), name)
+        rank = rank.when(F.col(held).isNotNull(), number)
+        copies = copies * F.coalesce(F.col(held), F.lit(1))
+    labelled = base.select(
         *columns,
         text.otherwise(default).alias(label),
         rank.otherwise(len(populations) + 1).cast("int").alias(priority),
+        copies.alias("_copies"),
     )
+    return repeat_rows(labelled, "_copies")
+
+
+def key_counts(population: DataFrame) -> DataFrame:
+    """Number of rows per ``uid``; combined before the shuffle."""
+    return population.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))

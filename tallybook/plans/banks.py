@@ -170,7 +170,7 @@ def outstanding_checks(
         reconciliations.filter(F.col("record_type") == "CheckPayment").select("record_id", "transaction_id"),
         cleared,
         [("transaction_id", "bank_id")],
-    ).select(F.col("record_id").alias("cleared_check"), "bt_date", "bt_amount")
+    ).select(F.col("record_id").alias("cleared_check"), "bt_date", "bt_amount").distinct()
     account_names = accounts.join(
         banks.select(F.col("id").alias("_bank"), F.col("name").alias("bank_name")),
         F.col("origination_bank_id") == F.col("_bank"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.amounts import money_total, signed_amount
-from tallybook.functions.labels import inclusion_flag
+from tallybook.functions.labels import inclusion_flag, none_of
 from tallybook.operators import matching
 from tallybook.operators.entries import (
     event_entries,
@@ -93,13 +93,19 @@ def _records_by_category(
         F.col("id").alias("record"), "origination_account_id", "bank_name", "bank_account", "bank_transaction_ids",
         "reconciled", "bank_transaction_date",
     )
-    moved = entries.select(
-        "payment_record_id", "transaction_category", F.col("on_behalf_of_id").alias("owner"), "payment_direction",
-        "amount",
+    # Entries are summed per record first. Of the owner the flag only asks whether it
+    # counts, so a record of very many entries shrinks to a few rows before the join.
+    owner = F.col("on_behalf_of_id")
+    counts = owner.isNotNull() & none_of(owner, excluded_owners)
+    moved = entries.groupBy(
+        "payment_record_id", "transaction_category", F.coalesce(counts, F.lit(False)).alias("owner_counts")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(signed_amount(F.col("payment_direction"), F.col("amount"))).alias("net"),
     )
     flag = inclusion_flag(
         F.col("reconciled"), F.col("transaction_category"), F.col("bank_account"), F.col("bank_transaction_date"),
-        F.col("owner"), excluded_owners,
+        F.col("owner_counts"),
     )
     return (
         chosen.join(moved, F.col("record") == F.col("payment_record_id"), "left")
@@ -108,8 +114,9 @@ def _records_by_category(
             "transaction_category", "bank_transaction_ids", flag.alias("exclusion_reason"),
         )
         .agg(
-            F.count(F.lit(1)).alias("record_count"),
-            money_total(signed_amount(F.col("payment_direction"), F.col("amount"))).alias("net_sum_amount"),
+            # A record without entries is one row of the report.
+            F.sum(F.coalesce(F.col("n"), F.lit(1))).alias("record_count"),
+            money_total(F.coalesce(F.col("net"), F.lit(0))).alias("net_sum_amount"),
         )
     )
 

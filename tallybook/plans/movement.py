@@ -11,7 +11,7 @@ from tallybook.functions.amounts import money_total, zero_if_null
 from tallybook.functions.dates import settlement_timing
 from tallybook.functions.keys import text_id
 from tallybook.functions.labels import first_match_like, like_none, none_of
-from tallybook.operators.joins import left_join_spreading_nulls, polymorphic_join
+from tallybook.operators.joins import left_join_repeating, left_join_spreading_nulls, polymorphic_join
 
 
 def monthly_movement_by_category(
@@ -150,7 +150,7 @@ def deposits_in_transit(
         .withColumn("_opposite", (-F.col("destination_amount")).cast("decimal(28,2)"))
         .drop("on_behalf_of_id")
     )
-    joined = left_join_spreading_nulls(
+    joined = left_join_repeating(
         sent,
         received,
         [("event_id", "_event_id"), ("event_type", "_event_type"), ("origination_amount", "_opposite")],

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tallybook import constants as K
 from tallybook.functions.keys import normalize_key
 from tallybook.operators.asof import snapshot_as_of
+from tallybook.operators.joins import repeat_rows
+from tallybook.operators.matching import key_counts
 from tallybook.operators.populations import (
     exclusion_population,
     negative_event_balances,
@@ -102,16 +104,17 @@ def netting_analysis(
     for population in month_populations(
         snapshot, transfers, month_1.period, excluded_companies, excluded_investigations
     ):
-        open_events = open_events.join(population, "uid", "left_anti")
+        open_events = open_events.join(population.distinct(), "uid", "left_anti")
     explained = month_populations(snapshot, transfers, month_2.period, excluded_companies, excluded_investigations)
-    result = open_events
+    result, copies = open_events, F.lit(1).cast("long")
     for number, population in enumerate(explained, 1):
-        keys = population.select(F.col("uid").alias(f"_uid_{number}"))
-        result = result.join(keys, F.col("uid") == F.col(f"_uid_{number}"), "left")
+        joined, held = f"_uid_{number}", f"_n_{number}"
+        result = result.join(key_counts(population).toDF(joined, held), F.col("uid") == F.col(joined), "left")
+        copies = copies * F.coalesce(F.col(held), F.lit(1))
     cases = [
-        (F.col("_uid_1").isNotNull(), RECOVERY),
-        (F.col("_uid_2").isNotNull(), BAD_DEBT),
-        (F.col("_uid_3").isNotNull(), EXCLUSION),
+        (F.col("_n_1").isNotNull(), RECOVERY),
+        (F.col("_n_2").isNotNull(), BAD_DEBT),
+        (F.col("_n_3").isNotNull(), EXCLUSION),
         (F.col("balance_2") == F.col("balance_1"), UNCHANGED),
         (F.col("balance_2") != F.col("balance_1"), CHANGED),
     ]
@@ -120,11 +123,13 @@ def netting_analysis(
     for number, (holds, name) in enumerate(cases, 1):
         label = label.when(holds, name)
         rank = rank.when(holds, number)
-    return result.select(
+    placed = result.select(
         "uid",
         F.col("balance_1").alias("balance"),
         F.lit(MONTH_1_DEFAULT).alias("match"),
         F.lit(len(MONTH_1_LABELS) + 1).alias("match_priority"),
         label.otherwise(PAID_OFF).alias("second_match"),
         rank.otherwise(len(cases) + 1).alias("second_match_priority"),
+        copies.alias("_copies"),
     )
+    return repeat_rows(placed, "_copies")

@@ -26,6 +26,7 @@ from tallybook.operators.filters import operating_account_filter
 from tallybook.operators.joins import (
     credit_loss_lookup,
     investigation_with_category,
+    left_join_repeating,
     left_join_spreading_nulls,
 )
 from tallybook.operators.populations import recovery_population, recovery_rows
@@ -154,7 +155,7 @@ def recovery_receivable_additions(
     days_left = F.lit(K.RESERVE_AGE_DAYS) - F.col("pi_age_in_days")
     days_until = F.when(days_left < 0, F.lit(0)).otherwise(days_left)
     is_new = F.col("_previous").isNull()
-    return left_join_spreading_nulls(current_rows, before, [("concat", "_previous")]).select(
+    return left_join_repeating(current_rows, before, [("concat", "_previous")]).select(
         *current_rows.columns,
         yn_flag(is_new, "Yes", "No").alias("new_in_rr2"),
         F.when(is_new, "New in Current Period").otherwise(F.col("_reserve")).alias("reserve_status_in_pp"),
@@ -269,8 +270,10 @@ def recovery_charge_offs(
         bridge,
         event_balances,
     ).withColumnsRenamed({"id": "_case", "transaction_category": "_category"})
-    full = left_join_spreading_nulls(
-        flagged, cases, [("event_id", "_event"), ("event_type", "_type"), ("transaction_category", "_category")]
+    full = left_join_repeating(
+        flagged,
+        cases.distinct(),
+        [("event_id", "_event"), ("event_type", "_type"), ("transaction_category", "_category")],
     )
     return full.select(
         "bad_debt_id",
