@@ -8,6 +8,7 @@ Source dates are moved 23 years ahead, so they span 2018 to 2024.
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import dialects
+from tallybook.sources.tables import table_scan, write_table
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -448,7 +449,7 @@ class Tables:
     """Fixture tables of one data folder as lazy DataFrames: ``tables.payment_records``."""
 
     def __init__(self, spark: SparkSession, folder: str, stored: str | None = None):
-        """``stored`` names a folder that holds the fixtures as Parquet tables."""
+        """``stored`` names a database that holds the fixtures as tables."""
         self.spark = spark
         self.folder = folder
         self.stored = stored
@@ -463,23 +464,27 @@ class Tables:
 
     def _load(self, name: str) -> DataFrame:
         if name in BASE_TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return table_scan(self.spark, name, self.folder)
         if self.stored:
-            return self.spark.read.parquet(f"{self.stored}/{name}")
+            return table_scan(self.spark, f"{self.stored}.{name}")
         sql = SPARK_SQL[name]
         sources = _sources_of(sql, (*BASE_TABLES, *SPARK_SQL))
         return self.spark.sql(sql, **{source: getattr(self, source) for source in sources})
 
 
-def store(spark: SparkSession, folder: str, target: str) -> None:
-    """Write every fixture as a Parquet table, dated tables partitioned by their date."""
+def store(spark: SparkSession, folder: str, database: str, location: str) -> None:
+    """Save every fixture as a table of a database, dated tables partitioned by their date."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     derived = Tables(spark, folder)
+    files = spark.sparkContext.defaultParallelism
     for name in SPARK_SQL:
         table = getattr(derived, name)
-        writer = table.write.mode("overwrite")
-        if "snapshot_date" in table.columns and name.endswith("_snapshot"):
-            writer = writer.partitionBy("snapshot_date")
-        writer.parquet(f"{target}/{name}")
+        dated = "snapshot_date" in table.columns and name.endswith("_snapshot")
+        write_table(
+            table.repartition(files),
+            f"{database}.{name}",
+            partition_by=["snapshot_date"] if dated else [],
+        )
 
 
 def with_fixtures(sql: str) -> str:

@@ -1,5 +1,7 @@
 """Whole-table reads and result sinks."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,8 +12,26 @@ def table_scan(spark: SparkSession, name: str, folder: str | None = None) -> Dat
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def write_table(df: DataFrame, table: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).saveAsTable(table)
+def write_table(
+    df: DataFrame,
+    table: str,
+    mode: str = "overwrite",
+    partition_by: Sequence[str] = (),
+    bucket_by: Sequence[str] = (),
+    buckets: int = 0,
+) -> None:
+    """Save as a catalog table.
+
+    Dated copies are best partitioned by their snapshot date: each report reads one to
+    three of them. Bucketing by a join key saves its shuffle, but a bucket is one task
+    whatever its size, so it suits keys that are known to be spread evenly.
+    """
+    writer = df.write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    writer.saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

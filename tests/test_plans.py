@@ -22,9 +22,8 @@ def unbroadcast(spark):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    target = str(tmp_path_factory.mktemp("stored"))
-    store(spark, DATA, target)
-    return target
+    store(spark, DATA, "stored", str(tmp_path_factory.mktemp("stored")))
+    return "stored"
 
 
 def plan_of(df) -> str:
@@ -75,4 +74,17 @@ def test_columns_are_pruned(spark, stored):
 
 def test_netting_reads_the_ledger_once(spark, stored):
     plan = stored_plan(spark, stored, "netting_analysis")
-    assert len(set(re.findall(r"FileScan parquet \[[^\]]*\].*?accounting_balance_history", plan))) == 1
+    assert len(re.findall(r"FileScan parquet spark_catalog.stored.accounting_balance_history", plan)) == 1
+
+
+def test_bucketed_tables_join_without_shuffle(unbroadcast, stored):
+    from tallybook.operators.joins import left_join_repeating
+    from tallybook.sources.tables import write_table
+
+    tables = Tables(unbroadcast, DATA, stored)
+    write_table(tables.payment_records, "stored.records_b", bucket_by=["id"], buckets=4)
+    write_table(tables.payment_record_entries, "stored.entries_b", bucket_by=["payment_record_id"], buckets=4)
+    records = unbroadcast.table("stored.records_b").select("id", "bank_account")
+    entries = unbroadcast.table("stored.entries_b").select("payment_record_id", "amount")
+    joined = left_join_repeating(records, entries, [("id", "payment_record_id")])
+    assert "Exchange" not in plan_of(joined)
