@@ -5,6 +5,8 @@ row of the source table gives a row of the fixture; remainders of keys only pick
 Source dates are moved 23 years ahead, so they span 2018 to 2024.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from checks import dialects
@@ -477,14 +479,15 @@ def store(spark: SparkSession, folder: str, database: str, location: str) -> Non
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     derived = Tables(spark, folder)
     files = spark.sparkContext.defaultParallelism
-    for name in SPARK_SQL:
+
+    def save(name: str) -> None:
         table = getattr(derived, name)
         dated = "snapshot_date" in table.columns and name.endswith("_snapshot")
-        write_table(
-            table.repartition(files),
-            f"{database}.{name}",
-            partition_by=["snapshot_date"] if dated else [],
-        )
+        partitions = ["snapshot_date"] if dated else []
+        write_table(table.repartition(files), f"{database}.{name}", partition_by=partitions)
+
+    with ThreadPoolExecutor(4) as jobs:
+        list(jobs.map(save, SPARK_SQL))
 
 
 def with_fixtures(sql: str) -> str:
