@@ -14,13 +14,12 @@ def as_sorted_rows(table):
 
 def tie_out(left: DataFrame, right: DataFrame, keys: list[str], measure: str) -> DataFrame:
     """Groups whose measure differs between two results, or that only one of them has."""
-    a = left.select(*keys, F.col(measure).alias("left_value"))
-    b = right.select(*keys, F.col(measure).alias("right_value"))
+    a = left.select(*[F.col(k).alias(f"left_{k}") for k in keys], F.col(measure).alias("left_value"), F.lit(True).alias("in_left"))
+    b = right.select(*[F.col(k).alias(f"right_{k}") for k in keys], F.col(measure).alias("right_value"), F.lit(True).alias("in_right"))
     condition = F.lit(True)
     for key in keys:
-        condition = condition & a[key].eqNullSafe(b[key])
+        condition = condition & F.col(f"left_{key}").eqNullSafe(F.col(f"right_{key}"))
     joined = a.join(b, condition, "full")
-    difference = F.coalesce("left_value", F.lit(0)) - F.coalesce("right_value", F.lit(0))
-    return joined.withColumn("difference", difference).filter(
-        (F.col("difference") != 0) | F.col("left_value").isNull() | F.col("right_value").isNull()
-    )
+    return joined.filter(
+        ~F.col("left_value").eqNullSafe(F.col("right_value")) | F.col("in_left").isNull() | F.col("in_right").isNull()
+    ).select(*[F.coalesce(f"left_{k}", f"right_{k}").alias(k) for k in keys], "left_value", "right_value")
