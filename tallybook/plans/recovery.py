@@ -120,12 +120,16 @@ def recovery_receivable_additions(
     credit: DataFrame,
     previous: Period,
     current: Period,
-    today: datetime.date,
+    now: datetime.datetime,
     quarter_end: datetime.date,
     excluded_companies: Sequence[int] = (),
     excluded_investigations: Sequence[int] = (),
 ) -> DataFrame:
-    """Receivables of the current period against those of the previous one."""
+    """Receivables of the current period against those of the previous one.
+
+    A receivable reaches its reserve age at the hour of ``now``; the quarter ends at the
+    first moment of its last day, so past midnight that day itself no longer counts.
+    """
     key = normalize_key(F.col("id_category_concat"))
     rows = recovery_rows(
         snapshot, [(current.end, current.snapshot_date)], excluded_companies, excluded_investigations
@@ -154,6 +158,8 @@ def recovery_receivable_additions(
     )
     days_left = F.lit(K.RESERVE_AGE_DAYS) - F.col("pi_age_in_days")
     days_until = F.when(days_left < 0, F.lit(0)).otherwise(days_left)
+    reached_on = F.date_add(F.lit(now.date()), days_until)
+    in_time = reached_on <= F.lit(quarter_end) if now.time() == datetime.time() else reached_on < F.lit(quarter_end)
     is_new = F.col("_previous").isNull()
     return left_join_repeating(current_rows, before, [("concat", "_previous")]).select(
         *current_rows.columns,
@@ -161,9 +167,7 @@ def recovery_receivable_additions(
         F.when(is_new, "New in Current Period").otherwise(F.col("_reserve")).alias("reserve_status_in_pp"),
         F.when(~is_new, F.col("balance") - F.col("_balance")).otherwise(F.lit(0)).cast(TOTAL).alias("balance_change"),
         days_until.alias("days_until_90_days"),
-        yn_flag(F.date_add(F.lit(today), days_until) <= F.lit(quarter_end), "Yes", "No").alias(
-            "will_reach_90_days_aged_this_quarter"
-        ),
+        yn_flag(in_time, "Yes", "No").alias("will_reach_90_days_aged_this_quarter"),
     )
 
 

@@ -12,6 +12,9 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 FLOAT_PATTERN = r"^\s*[+-]?(((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)|([iI]nf(inity)?))\s*$"
 BOOLEAN_PATTERN = r"^(True|TRUE|true|False|FALSE|false)$"
 
+# Column that takes up what a row has beyond the header's columns.
+SURPLUS = "_surplus"
+
 
 def find_csv(spark: SparkSession, root: str, name: str) -> str:
     """Path of the file of that name nearest to the root folder."""
@@ -39,34 +42,35 @@ def _has_line_breaks_in_quotes(spark: SparkSession, path: str) -> bool:
 
 
 def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, missing values as NULL.
+    """All columns as text, missing values as NULL, short rows filled up with NULL.
 
-    The file is split among tasks unless a quoted value holds a line break.
+    The file is split among tasks unless a quoted value holds a line break. The last
+    column holds what a row has beyond the header's columns.
     """
-    raw = spark.read.csv(
-        path,
-        header=True,
-        inferSchema=False,
-        quote='"',
-        escape='"',
-        multiLine=_has_line_breaks_in_quotes(spark, path),
-        enforceSchema=False,
-    )
+    options = {
+        "header": True, "quote": '"', "escape": '"', "multiLine": _has_line_breaks_in_quotes(spark, path)
+    }
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in (*names, SURPLUS)])
+    raw = spark.read.options(**options, enforceSchema=True).schema(schema).csv(path)
     missing = list(CSV_MISSING_TEXTS)
     return raw.select(
-        *[F.when(~_quoted(c).isin(missing), _quoted(c)).alias(c) for c in raw.columns]
+        *[F.when(~_quoted(c).isin(missing), _quoted(c)).alias(c) for c in names], SURPLUS
     )
 
 
 def infer_types(text: DataFrame) -> dict[str, T.DataType]:
     """One type per column from a single pass that counts how many values fit each type.
 
+    Raises if a row has more values than there are columns.
+
     Whole numbers are BIGINT, but DOUBLE if values are missing; other numbers and columns
     without any value are DOUBLE; true/false without gaps is BOOLEAN; all else, dates
     too, stays text. Whole numbers beyond 64 bits stay text to keep their digits.
     """
-    counts = [F.count(F.lit(1)).alias("rows")]
-    for n, name in enumerate(text.columns):
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(SURPLUS).alias("surplus")]
+    names = [name for name in text.columns if name != SURPLUS]
+    for n, name in enumerate(names):
         value = _quoted(name)
         whole = value.rlike(INTEGER_PATTERN)
         counts += [
@@ -77,8 +81,10 @@ def infer_types(text: DataFrame) -> dict[str, T.DataType]:
             F.count(F.when(value.rlike(BOOLEAN_PATTERN), 1)).alias(f"boolean_{n}"),
         ]
     row = text.agg(*counts).first()
+    if row["surplus"]:
+        raise ValueError(f"{row['surplus']} rows have more values than the header has columns")
     types: dict[str, T.DataType] = {}
-    for n, name in enumerate(text.columns):
+    for n, name in enumerate(names):
         present = row[f"present_{n}"]
         complete = present == row["rows"]
         if complete and present and row[f"whole_{n}"] == present:
@@ -103,7 +109,7 @@ def read_typed_csv(spark: SparkSession, path: str) -> DataFrame:
             return value.alias(name)
         return F.trim(value).cast(types[name]).alias(name)
 
-    return text.select(*[typed(name) for name in text.columns])
+    return text.select(*[typed(name) for name in types])
 
 
 def csv_ingest(

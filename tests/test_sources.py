@@ -63,6 +63,15 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert sorted((r.a, r.b) for r in df.collect()) == [(1, "two\nlines"), (2, "plain")]
 
 
+def test_rows_with_surplus_values_are_refused_and_short_ones_filled(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(ValueError):
+        ingest.read_typed_csv(spark, str(tmp_path / "long.csv"))
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
+    df = ingest.read_typed_csv(spark, str(tmp_path / "short.csv"))
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (3, None)]
+
+
 def test_csv_sink_reads_back(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "x", y'), (2, None)], "i long, t string")
     write_csv(df, str(tmp_path / "out"))
