@@ -1,12 +1,18 @@
 """Running sums that keep a hot key off a single task."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.amounts import TOTAL
 
-# Owners of one event and day are cut into this many slices, each summed on its own.
+# Owners of one event and day are cut into this many slices, each summed on its own. The
+# prime keeps slices even where ids share a factor.
 OWNER_SLICES = 64
+SLICE_PRIME = 1_000_003
+
+
+def owner_slice(owner: Column) -> Column:
+    return F.pmod(F.pmod(owner, F.lit(SLICE_PRIME)), F.lit(OWNER_SLICES))
 
 
 def running_balance(daily: DataFrame) -> DataFrame:
@@ -16,7 +22,7 @@ def running_balance(daily: DataFrame) -> DataFrame:
     one: the first runs over the slice totals of a uid, whose number is bounded by dates
     times slices, the second over the owners within a slice.
     """
-    sliced = daily.withColumn("owner_slice", F.pmod(F.col("pr_on_behalf_of_id"), F.lit(OWNER_SLICES)))
+    sliced = daily.withColumn("owner_slice", owner_slice(F.col("pr_on_behalf_of_id")))
     keys = ["uid", "bank_transaction_date", "owner_slice"]
     totals = sliced.groupBy(*keys).agg(F.sum("balance").alias("_total"))
     earlier = (

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybook.operators import asof, entries, filters, joins, matching, populations
-from tallybook.operators.running import running_balance
+from tallybook.operators.running import owner_slice, running_balance
 
 c = F.col
 DAY = datetime.date
@@ -211,7 +211,7 @@ def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows):
         ((c("id") * 7919) % 2001 - 1000).cast("decimal(18,2)").alias("balance"),
     )
     daily = data.groupBy("uid", "pr_on_behalf_of_id", "bank_transaction_date").agg(F.sum("balance").alias("balance"))
-    order = Window.partitionBy("uid").orderBy("bank_transaction_date", F.pmod("pr_on_behalf_of_id", F.lit(64)), "pr_on_behalf_of_id")
+    order = Window.partitionBy("uid").orderBy("bank_transaction_date", owner_slice(c("pr_on_behalf_of_id")), "pr_on_behalf_of_id")
     want = daily.withColumn("running_balance", F.sum("balance").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     columns = ["uid", "bank_transaction_date", "pr_on_behalf_of_id", "running_balance"]
     assert rows(running_balance(daily).withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns) == rows(
