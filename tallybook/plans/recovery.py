@@ -3,7 +3,7 @@
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook import constants as K
@@ -239,7 +239,7 @@ def recovery_receivable_journal(
     )
 
 
-def _written_off(transfers: DataFrame, until: datetime.date) -> Column:
+def _written_off(transfers: DataFrame, until: datetime.date) -> DataFrame:
     return transfers.filter(
         (F.col("written_off_fiscal_year") >= K.FISCAL_YEAR_FLOOR) & (F.col("effective_date") <= F.lit(until))
     )

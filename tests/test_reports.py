@@ -6,7 +6,6 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from checks import parameters as P
 from checks.fixtures import Tables
 from tallybook.params import Period
 from tallybook.plans import balances, movement, netting, reserve
