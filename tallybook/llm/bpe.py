@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.llm.common import ship
+
 KNOWN = 500_000
 # Texts handed over at once; a batch of very long texts is cut by Spark's limit on bytes.
 BATCH_ROWS = 256
@@ -257,25 +259,28 @@ def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text, any other columns).
 
     ``vocabulary`` is the path of the file, the same on every machine. Null text counts as empty and has no tokens.
-    Repeated rows are each encoded. An empty table gives no rows.
+    Repeated rows are each encoded. An empty table gives no rows. Raises if the vocabulary has tokens that its own
+    merges do not reach.
     """
+    ship(docs.sparkSession)
+    Vocabulary(vocabulary).check()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = loaded(vocabulary)
-        for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                part = batch.iloc[at : at + BATCH_ROWS]
-                found = encoder.digests(part["text"].tolist())
-                out = pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "doc_id", part["doc_id"].array)
-                yield out
+        for texts in columns:
+            found = []
+            for at in range(0, len(texts), BATCH_ROWS):
+                found += encoder.digests(texts.iloc[at : at + BATCH_ROWS].tolist())
+            yield pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    columns = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return columns.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    digests = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    found = docs.select("doc_id", digests(F.coalesce("text", F.lit(""))).alias("_bpe"))
+    return found.select("doc_id", "_bpe.n_tokens", "_bpe.ids_sha256", "_bpe.decoded_sha256")
 
 
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded`` (string) for every row; columns of these names are replaced."""
+    ship(docs.sparkSession)
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = loaded(vocabulary)

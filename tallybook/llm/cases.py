@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, exact_dedup, mixing, sharding
+from tallybook.llm import bpe, exact_dedup, jaccard, language, mixing, sharding
 from tallybook.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,11 +25,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op3_exact_dedup, op5_sharding, op8_mixing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_bpe, op3_exact_dedup, op5_sharding, op7_language, op8_mixing, op10_jaccard_join)
+}
 
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": r"""

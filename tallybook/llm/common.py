@@ -1,5 +1,11 @@
 """Reading the given tables and passing intermediate tables through the shared folder."""
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +46,23 @@ def tagged(docs: DataFrame) -> DataFrame:
     gives the same place; store anything else first.
     """
     return docs.withColumn("_tag", F.monotonically_increasing_id())
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package's code, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tallybook_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    # The driver serves this file to the executors as long as the context lives.
+    folder = tempfile.mkdtemp(prefix="tallybook-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "tallybook-code.zip")
+    with zipfile.ZipFile(path, "w") as code:
+        for top, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(top, name)
+                    code.write(file, os.path.relpath(file, os.path.dirname(package)))
+    context.addPyFile(path)
+    context._tallybook_shipped = True
