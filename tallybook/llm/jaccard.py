@@ -6,9 +6,10 @@ hashes, or its whole sequence if it has fewer words. Two sets link if ``100 * in
 1. *Global order.* A table of ``2 ** COUNT_BITS`` counters over all documents tells how frequent a shingle is; sets are
    ordered by (counter, hash), rare first. Any order would give the same links; this one keeps common passages out of
    prefixes. The table has one size whatever the input and so may be broadcast.
-2. *Prefixes.* Sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each. Equal sets
-   count once from here on. Owners of hash ranges find the prefix shingles that more than one set has; batches
-   send each of theirs once, so a frequent one stays small.
+2. *Prefixes.* Sets that link share at least k shingles among the first ``n - ceil(0.8 n) + k`` of each; k grows with the
+   set, so that one common passage is not enough. Equal sets count once from here on. Owners of hash ranges find the
+   prefix shingles that more than one set has; batches send each of theirs once, so a frequent one stays small. Sets
+   with fewer than k such shingles link with nothing and go, twice over.
 3. *Clusters.* The most central set with a shared shingle leads all that have it. Every pair of sets that can link
    is in one leader's cluster; the shingle itself needs no pairs.
 4. *Prefix trees.* A cluster's sets, in the global order, form a trie; a set walks down with its overlap so far, shared by
@@ -171,6 +172,16 @@ def frequency_ranks(docs: DataFrame) -> np.ndarray:
     return np.concatenate([parts.get(i, np.zeros(width, np.uint8)) for i in range(slices)])
 
 
+def _prefix(n: int) -> int:
+    """Length of the prefix of a set of n shingles, see the module's docstring; k is ``1 + n // 20``."""
+    return min(n, n - (4 * n + 4) // 5 + 1 + n // 20)
+
+
+def _least_shared(n: int) -> int:
+    """k of the smallest set that a set of n shingles can link with."""
+    return 1 + (4 * n + 4) // 5 // 20
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[c for c in docs.columns if c != "text"], text_or_empty().cast("binary").alias("text"))
 
@@ -197,9 +208,8 @@ def _prefixes(docs: DataFrame, rank) -> DataFrame:
             for at in range(0, len(texts), BATCH_DOCS):
                 for tokens in shingle_sets(texts.iloc[at : at + BATCH_DOCS].tolist()):
                     s = ordered(tokens, ranks)
-                    first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                     central = float((s >> _U(56)).mean()) if len(s) else 0.0
-                    rows.append((len(s), set_key(s), central, s[:first].tobytes(), (task << 32) + nth))
+                    rows.append((len(s), set_key(s), central, s[: _prefix(len(s))].tobytes(), (task << 32) + nth))
                 nth += 1
             yield pd.DataFrame(rows, columns=["n", "x", "central", "prefix", "batch"])
 
@@ -258,6 +268,8 @@ def _members(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         tokens = np.frombuffer(prefix, _U)
         at = np.minimum(np.searchsorted(shared, tokens & _LOW40), max(0, len(shared) - 1))
         hit = tokens[shared[at] == (tokens & _LOW40)] if len(shared) else tokens[:0]
+        if len(hit) < _least_shared(n):
+            continue
         out.append((hit.view(np.int64), np.full(len(hit), x), np.full(len(hit), n), np.full(len(hit), central)))
     columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
     return pd.DataFrame(dict(zip(("g", "x", "n", "central"), columns)))
@@ -418,6 +430,11 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
         .applyInPandas(_members, "g long, x long, n long, central double"),
         "having",
     )
+    several = having.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a < b").select("g")
+    having = having.join(several, "g", "left_semi")
+    k = F.expr("1 + ((4 * max(n) + 4) div 5) div 20")
+    enough = having.groupBy("x").agg(F.count("*").alias("has"), k.alias("k")).filter("has >= k").select("x")
+    having = scratch.keep(having.join(enough, "x", "left_semi"), "having-enough")
     leaders = (
         having.groupBy("g")
         .agg(F.max(F.struct("central", "x")).alias("top"), F.min("x").alias("a"), F.max("x").alias("b"))
