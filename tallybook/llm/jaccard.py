@@ -43,7 +43,6 @@ PIECE = 1 << 20
 BATCH_DOCS = 2048
 
 _U = np.uint64
-_LOW40 = _U((1 << 40) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -209,7 +208,7 @@ def _prefixes(docs: DataFrame, rank) -> DataFrame:
                 for tokens in shingle_sets(texts.iloc[at : at + BATCH_DOCS].tolist()):
                     s = ordered(tokens, ranks)
                     central = float((s >> _U(56)).mean()) if len(s) else 0.0
-                    rows.append((len(s), set_key(s), central, s[: _prefix(len(s))].tobytes(), (task << 32) + nth))
+                    rows.append((len(s), set_key(s), central, _pack(s[: _prefix(len(s))]), (task << 32) + nth))
                 nth += 1
             yield pd.DataFrame(rows, columns=["n", "x", "central", "prefix", "batch"])
 
@@ -217,6 +216,11 @@ def _prefixes(docs: DataFrame, rank) -> DataFrame:
     return docs.select("doc_id", "_tag", found(text_or_empty().cast("binary")).alias("s")).select("doc_id", "_tag", "s.*")
 
 
+def _pack(tokens: np.ndarray) -> bytes:
+    """5 bytes of each: enough to find candidates; links are decided by whole hashes."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
 def _blobs(sets: DataFrame, parts: int) -> DataFrame:
     """Each batch's distinct prefix shingles for each owner: 5 bytes of each, and which of them two of its sets have."""
 
@@ -224,7 +228,7 @@ def _blobs(sets: DataFrame, parts: int) -> DataFrame:
         for rows in batches:
             for name, batch in rows.groupby("batch"):
                 own = batch.drop_duplicates("x")
-                tokens = np.frombuffer(b"".join(own["prefix"]), _U) & _LOW40
+                tokens = _five(b"".join(own["prefix"]))
                 tokens, count = np.unique(tokens, return_counts=True)
                 part = (tokens % _U(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
@@ -233,8 +237,7 @@ def _blobs(sets: DataFrame, parts: int) -> DataFrame:
                 for p in range(parts):
                     some = order[cuts[p] : cuts[p + 1]]
                     if len(some):
-                        five = tokens[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                        out.append((p, name, five, np.packbits(count[some] > 1).tobytes()))
+                        out.append((p, name, _pack(tokens[some]), np.packbits(count[some] > 1).tobytes()))
                 yield pd.DataFrame(out, columns=["part", "batch", "tokens", "twice"])
 
     kept = sets.filter("n > 0").select("batch", "x", "prefix")
@@ -264,15 +267,15 @@ def _members(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """(shingle, set) for the shared prefix shingles of a batch."""
     shared = np.sort(np.concatenate([np.frombuffer(t, "<u8") for t in answers["tokens"]] or [np.zeros(0, "<u8")]))
     out = []
-    for x, n, central, prefix in batch.drop_duplicates("x")[["x", "n", "central", "prefix"]].itertuples(index=False):
-        tokens = np.frombuffer(prefix, _U)
-        at = np.minimum(np.searchsorted(shared, tokens & _LOW40), max(0, len(shared) - 1))
-        hit = tokens[shared[at] == (tokens & _LOW40)] if len(shared) else tokens[:0]
+    for x, n, prefix in batch.drop_duplicates("x")[["x", "n", "prefix"]].itertuples(index=False):
+        tokens = _five(prefix)
+        at = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
+        hit = tokens[shared[at] == tokens] if len(shared) else tokens[:0]
         if len(hit) < _least_shared(n):
             continue
-        out.append((hit.view(np.int64), np.full(len(hit), x), np.full(len(hit), n), np.full(len(hit), central)))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
-    return pd.DataFrame(dict(zip(("g", "x", "n", "central"), columns)))
+        out.append((hit.view(np.int64), np.full(len(hit), x), np.full(len(hit), n)))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 3
+    return pd.DataFrame(dict(zip(("g", "x", "n"), columns)))
 
 
 class PrefixTree:
@@ -420,21 +423,22 @@ def _full_sets(docs: DataFrame, wanted, rank) -> DataFrame:
 def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFrame:
     """(u, v): links between set keys that connect exactly the components of all links."""
     spark = docs.sparkSession
-    shingles = sets.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 8
+    shingles = sets.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 5
     parts = max(1, -(-shingles // OWNED))
     answers = _blobs(sets, parts).groupBy("part").applyInPandas(_shared, "batch long, tokens binary")
-    rows = sets.filter("n > 0").select("batch", "x", "n", "central", "prefix")
+    rows = sets.filter("n > 0").select("batch", "x", "n", "prefix")
     having = scratch.keep(
         rows.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
-        .applyInPandas(_members, "g long, x long, n long, central double"),
+        .applyInPandas(_members, "g long, x long, n long"),
         "having",
     )
     several = having.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a < b").select("g")
     having = having.join(several, "g", "left_semi")
     k = F.expr("1 + ((4 * max(n) + 4) div 5) div 20")
     enough = having.groupBy("x").agg(F.count("*").alias("has"), k.alias("k")).filter("has >= k").select("x")
-    having = scratch.keep(having.join(enough, "x", "left_semi"), "having-enough")
+    central = sets.filter("n > 0").groupBy("x").agg(F.max("central").alias("central"))
+    having = scratch.keep(having.join(enough, "x", "left_semi").join(central, "x"), "having-enough")
     leaders = (
         having.groupBy("g")
         .agg(F.max(F.struct("central", "x")).alias("top"), F.min("x").alias("a"), F.max("x").alias("b"))
