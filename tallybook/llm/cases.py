@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, exact_dedup, jaccard, language, mixing, sharding
+from tallybook.llm import bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding
 from tallybook.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,14 +18,34 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks as text: start-end pairs joined by commas."""
+    conversations = table(spark, sf_dir, "conversations")
+    found = chat.formatted(conversations, chat.neighbouring_pairs(conversations))
+
+    def listed(masks):
+        pair = F.transform(masks, lambda m: F.concat_ws("-", m["start"], m["end"]))
+        return F.array_join(pair, ",")
+
+    return found.withColumns({c: listed(c) for c in ("chosen_masks", "rejected_masks")})
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.reshard(table(spark, sf_dir, "documents"))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
@@ -33,12 +54,30 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and licences joined by commas."""
+    found = licences.scanned(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sentences", "licences")})
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_bpe, op3_exact_dedup, op5_sharding, op7_language, op8_mixing, op10_jaccard_join)
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_nearest,
+        op3_exact_dedup,
+        op4_chat,
+        op5_sharding,
+        op6_pages,
+        op7_language,
+        op8_mixing,
+        op9_licences,
+        op10_jaccard_join,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -55,4 +94,44 @@ ORACLES: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
     """,
+    "op4_chat": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        p AS (
+            SELECT DISTINCT a.conv_id AS chosen_id, b.conv_id AS rejected_id
+            FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0
+        ),
+        c AS (
+            SELECT p.*, count(*) AS n_common
+            FROM p JOIN t a ON a.conv_id = chosen_id
+            WHERE NOT EXISTS (
+                SELECT 1 FROM t x LEFT JOIN t y ON y.conv_id = rejected_id AND y.pos = x.pos
+                WHERE x.conv_id = chosen_id AND x.pos <= a.pos
+                  AND (y.pos IS NULL OR x.role <> y.role OR x.text <> y.text)
+            )
+            GROUP BY ALL
+        ),
+        n AS (SELECT p.*, coalesce(n_common, 0)::INT AS n_common FROM p LEFT JOIN c USING (chosen_id, rejected_id)),
+        s AS (
+            SELECT n.*, conv_id = chosen_id AS is_chosen, pos, role,
+                   '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
+                   sum(CASE WHEN pos > n_common THEN length(role) + length(text) + 13 ELSE 0 END)
+                       OVER (PARTITION BY chosen_id, conv_id ORDER BY pos) AS stop,
+                   length(text) + 8 AS own
+            FROM n JOIN t ON conv_id IN (chosen_id, rejected_id)
+        )
+        SELECT chosen_id, rejected_id, n_common,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (is_chosen AND pos <= n_common), '') AS prompt,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (is_chosen AND pos > n_common), '') AS chosen,
+               coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT is_chosen AND pos > n_common), '') AS rejected,
+               coalesce(string_agg((stop - own)::BIGINT || '-' || stop::BIGINT, ',' ORDER BY pos)
+                   FILTER (is_chosen AND pos > n_common AND role = 'assistant'), '') AS chosen_masks,
+               coalesce(string_agg((stop - own)::BIGINT || '-' || stop::BIGINT, ',' ORDER BY pos)
+                   FILTER (NOT is_chosen AND pos > n_common AND role = 'assistant'), '') AS rejected_masks
+        FROM s GROUP BY ALL
+    """,
+    "op9_licences": licences.oracle(),
 }
