@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import ship
 
-KNOWN = 500_000
+KNOWN = 200_000
 # Texts handed over at once; a batch of very long texts is cut by Spark's limit on bytes.
 BATCH_ROWS = 256
 
@@ -91,7 +91,7 @@ class Vocabulary:
         """Whether merging the two tokens together leaves both as they are."""
         known = self.agreed.get((first, second))
         if known is None:
-            if len(self.agreed) > 500_000:
+            if len(self.agreed) > 150_000:
                 self.agreed.clear()
             known = self.agreed[first, second] = self._leaves_apart(first, second)
         return known
@@ -246,7 +246,6 @@ _LOADED: dict[str, Encoder] = {}
 def loaded(path: str) -> Encoder:
     """This Python worker's encoder; what it has learned serves its later tasks."""
     if path not in _LOADED:
-        gc.disable()  # no cycles are made here, and millions of small tuples are slow to search for them
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
 
@@ -269,8 +268,10 @@ def encoded_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         encoder = loaded(vocabulary)
         for texts in columns:
             found = []
+            gc.disable()  # many small tuples and no cycles: searching them for cycles takes longer than the work
             for at in range(0, len(texts), BATCH_ROWS):
                 found += encoder.digests(texts.iloc[at : at + BATCH_ROWS].tolist())
+            gc.enable()
             yield pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     digests = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

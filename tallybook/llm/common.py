@@ -48,8 +48,13 @@ def tagged(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_tag", F.monotonically_increasing_id())
 
 
+# Rows that Python tasks get at a time: some MB of text.
+ARROW_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once for each Spark context."""
+    """Give the executors this package's code, once for each Spark context, and keep the batches of Python tasks small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tallybook_shipped", False):
         return

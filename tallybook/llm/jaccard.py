@@ -40,7 +40,7 @@ CHUNK = 400_000
 TASK = 1_000_000
 # Bytes of text hashed at once.
 PIECE = 1 << 20
-BATCH_DOCS = 2048
+BATCH_DOCS = 2000
 
 _U = np.uint64
 

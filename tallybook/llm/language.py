@@ -29,7 +29,7 @@ SAMPLE_CHARS = 20_000
 CHAIN = 64
 SPAN = (6, 30)
 STEPS = 40
-KNOWN = 500_000
+KNOWN = 150_000
 UNKNOWN = "und"
 SHARE_HELD_OUT = 5
 
