@@ -196,7 +196,9 @@ def _importance(parsed: DataFrame) -> DataFrame:
     return by.select(
         "host", "key", "pages", "styles",
         F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(bounded(entropy / base)).alias("presentation"),
-        F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(bounded(1 - F.col("spread") / base)).alias("content"),
+        # Null where a node has no text of its own.
+        F.when(F.col("spread").isNotNull(),
+               F.when(F.col("pages") < LEAST_PAGES, 1.0).otherwise(bounded(1 - F.col("spread") / base))).alias("content"),
     )
 
 
