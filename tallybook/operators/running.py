@@ -1,28 +1,40 @@
 """Running sums that keep a hot key off a single task."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.amounts import TOTAL
 
-# Owners of one event and day are cut into this many slices, each summed on its own. The
-# prime keeps slices even where ids share a factor.
-OWNER_SLICES = 64
-SLICE_PRIME = 1_000_003
+# Owners of one event and day are cut into ranges of about this many rows, each summed on its own.
+SLICE_ROWS = 100_000
 
 
-def owner_slice(owner: Column) -> Column:
-    return F.pmod(F.pmod(owner, F.lit(SLICE_PRIME)), F.lit(OWNER_SLICES))
+def with_owner_slices(daily: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    """Add ``owner_slice``, the range of owners that a row of a (uid, date) is in.
+
+    Ranges ascend with the owner, so (slice, owner) sorts as the owner does, whatever ``rows`` is. They are of
+    equal width in ids; their number grows with the rows of the uid and date.
+    """
+    owner = F.col("pr_on_behalf_of_id").cast("decimal(20,0)")
+    spread = daily.groupBy(F.col("uid").alias("_of_uid"), F.col("bank_transaction_date").alias("_of_date")).agg(
+        F.min(owner).alias("_least"),
+        (F.floor((F.max(owner) - F.min(owner)) / F.ceil(F.count(F.lit(1)) / rows)) + 1).alias("_width"),
+    )
+    same_day = F.col("uid").eqNullSafe(F.col("_of_uid")) & (F.col("bank_transaction_date") == F.col("_of_date"))
+    return (
+        daily.join(spread, same_day, "inner")
+        .withColumn("owner_slice", F.floor((owner - F.col("_least")) / F.col("_width")).cast("long"))
+        .drop("_of_uid", "_of_date", "_least", "_width")
+    )
 
 
-def running_balance(daily: DataFrame) -> DataFrame:
-    """Running balance per ``uid`` over (date, owner slice, owner).
+def running_balance(daily: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    """Running balance per ``uid`` over (date, owner).
 
     ``daily`` has one row per uid, date and owner. Two short windows replace one long
-    one: the first runs over the slice totals of a uid, whose number is bounded by dates
-    times slices, the second over the owners within a slice.
+    one: the first runs over the slice totals of a uid, the second over the owners within a slice.
     """
-    sliced = daily.withColumn("owner_slice", owner_slice(F.col("pr_on_behalf_of_id")))
+    sliced = with_owner_slices(daily, rows)
     keys = ["uid", "bank_transaction_date", "owner_slice"]
     totals = sliced.groupBy(*keys).agg(F.sum("balance").alias("_total"))
     earlier = (

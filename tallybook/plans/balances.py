@@ -71,7 +71,7 @@ def aging_first_negative(
     )
     negative = running_balance(daily).filter(F.col("running_balance") < 0)
     # The smallest struct per key is its first row; this combines before the shuffle.
-    first = F.min(F.struct("bank_transaction_date", "owner_slice", "pr_on_behalf_of_id", "running_balance"))
+    first = F.min(F.struct("bank_transaction_date", "pr_on_behalf_of_id", "running_balance"))
     return (
         negative.groupBy("uid")
         .agg(first.alias("_first"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybook.operators import asof, entries, filters, joins, matching, populations
-from tallybook.operators.running import owner_slice, running_balance
+from tallybook.operators.running import running_balance
 
 c = F.col
 DAY = datetime.date
@@ -203,7 +203,8 @@ def test_priority_match_fans_out_on_duplicate_keys(spark, rows):
     assert rows(got) == [("a", 1, "one", 1)] * 2 + [("b", 2, "two", 2)] * 3 + [("d", 3, "none", 3)]
 
 
-def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows):
+@pytest.mark.parametrize("slice_rows", [100_000, 7, 1])
+def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows, slice_rows):
     data = spark.range(3000).select(
         F.when(c("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (c("id") % 50).cast("string"))).alias("uid"),
         F.when(c("id") % 97 == 0, F.lit(None)).otherwise(c("id") % 700).alias("pr_on_behalf_of_id"),
@@ -211,14 +212,23 @@ def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows):
         ((c("id") * 7919) % 2001 - 1000).cast("decimal(18,2)").alias("balance"),
     )
     daily = data.groupBy("uid", "pr_on_behalf_of_id", "bank_transaction_date").agg(F.sum("balance").alias("balance"))
-    order = Window.partitionBy("uid").orderBy("bank_transaction_date", owner_slice(c("pr_on_behalf_of_id")), "pr_on_behalf_of_id")
+    order = Window.partitionBy("uid").orderBy("bank_transaction_date", "pr_on_behalf_of_id")
     want = daily.withColumn("running_balance", F.sum("balance").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     columns = ["uid", "bank_transaction_date", "pr_on_behalf_of_id", "running_balance"]
-    assert rows(running_balance(daily).withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns) == rows(
+    assert rows(running_balance(daily, slice_rows).withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns) == rows(
         want.withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns
     )
 
 
+def test_running_balance_takes_equal_dates_by_owner(spark):
+    daily = spark.createDataFrame(
+        [("e", 1, DAY(2024, 1, 1), 100), ("e", 64, DAY(2024, 1, 1), -50)],
+        "uid string, pr_on_behalf_of_id long, bank_transaction_date date, balance long",
+    ).withColumn("balance", c("balance").cast("decimal(18,2)"))
+    got = running_balance(daily, 1).orderBy("pr_on_behalf_of_id").collect()
+    assert [int(r.running_balance) for r in got] == [100, 50]
+
+
 def test_credit_loss_lookup_fans_out_on_different_flags_only(spark, rows):
     rr = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
     credit = spark.createDataFrame([("a", True), ("a", True), ("a", None), ("x", False)], "ck string, is_credit_loss boolean")
