@@ -5,6 +5,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallybook.functions.dates import parsed_or_error
+
 MONEY = "decimal(18,2)"
 TOTAL = "decimal(28,2)"
 
@@ -42,8 +44,8 @@ def bank_side(transaction_type: Column) -> Column:
 
 
 def parse_paren_amount(text: Column) -> Column:
-    """``1,234.56`` and ``(1,234.56)`` as decimals; text that is no amount becomes NULL."""
-    return F.translate(text, "(,)", "-").try_cast(MONEY)
+    """``1,234.56`` and ``(1,234.56)`` as decimals; blank is NULL, other text an error."""
+    return parsed_or_error(text, F.translate(F.trim(text), "(,)", "-").try_cast(MONEY), "an amount")
 
 
 def money_total(amount: Column) -> Column:

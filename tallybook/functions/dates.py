@@ -19,16 +19,24 @@ def parse_date_or_null(text: Column) -> Column:
 
 
 def parse_mixed_date(text: Column) -> Column:
-    """Slashed dates with two or four year digits, or a spreadsheet day number; blank is NULL."""
-    slashed = text.contains("/")
-    year_digits = F.length(F.split_part(text, F.lit("/"), F.lit(3)))
-    return (
-        F.when((text == "") | text.isNull(), F.lit(None))
-        .when(slashed & (year_digits == 4), F.try_to_date(text, "M/d/yyyy"))
-        .when(slashed, F.try_to_date(text, "M/d/yy"))
-        .otherwise(F.date_add(F.lit(SPREADSHEET_EPOCH), text.try_cast("int")))
-        .cast("date")
+    """Slashed dates with two or four year digits, or a spreadsheet day number; blank is NULL, other text an error."""
+    trimmed = F.trim(text)
+    slashed = trimmed.contains("/")
+    year_digits = F.length(F.split_part(trimmed, F.lit("/"), F.lit(3)))
+    # Spreadsheets write day numbers with a fraction, the time of day, at times.
+    day = F.floor(trimmed.try_cast("double")).try_cast("int")
+    parsed = (
+        F.when(slashed & (year_digits == 4), F.try_to_date(trimmed, "M/d/yyyy"))
+        .when(slashed, F.try_to_date(trimmed, "M/d/yy"))
+        .otherwise(F.date_add(F.lit(SPREADSHEET_EPOCH), day))
     )
+    return parsed_or_error(text, parsed.cast("date"), "a date")
+
+
+def parsed_or_error(text: Column, parsed: Column, kind: str) -> Column:
+    """What was parsed; NULL for blank text; an error that names any other text, so that no line is lost unseen."""
+    unreadable = F.raise_error(F.concat(F.lit(f"not {kind}: '"), text, F.lit("'")))
+    return F.when(parsed.isNotNull() | text.isNull() | (F.trim(text) == ""), parsed).otherwise(unreadable)
 
 
 def padded_month(moment: Column) -> Column:

@@ -4,15 +4,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.constants import NON_OPERATING_PATTERNS
 from tallybook.functions.labels import like_none
 
-# Up to this many literal keys go into the filter itself and reach the Parquet scan.
-MAX_LITERAL_KEYS = 10_000
-
 
 def operating_account_filter(
     df: DataFrame, account: str = "bank_account", patterns: Sequence[str] = NON_OPERATING_PATTERNS
@@ -22,16 +20,16 @@ def operating_account_filter(
 
 
 def id_list_filter(df: DataFrame, key: str, ids: DataFrame | Sequence) -> DataFrame:
-    """Keep rows whose key is listed.
+    """Keep rows whose key is listed: one semi join for values and one-column DataFrames alike.
 
-    A short list of values becomes a pushed-down filter. A long one, or a one-column
-    DataFrame, becomes a semi join; Spark broadcasts it only if its size allows.
+    Ids are cast to the key's type; NULL ids match nothing. Spark broadcasts the list only if its size allows.
     """
     if not isinstance(ids, DataFrame):
-        if len(ids) <= MAX_LITERAL_KEYS:
-            return df.filter(F.col(key).isin(list(ids)))
-        ids = df.sparkSession.createDataFrame([(i,) for i in ids], df.select(key).schema)
-    listed = ids.toDF("_listed").distinct()
+        # An Arrow table has a known size, so that Spark can choose the join by it.
+        texts = pa.array([None if i is None else str(i) for i in ids], pa.string())
+        ids = df.sparkSession.createDataFrame(pa.table({"_listed": texts}))
+    listed = ids.toDF("_listed").select(F.col("_listed").cast(df.schema[key].dataType))
+    listed = listed.filter(F.col("_listed").isNotNull()).distinct()
     return df.join(listed, F.col(key) == F.col("_listed"), "left_semi")
 
 

@@ -61,7 +61,7 @@ def aging_first_negative(
 
     The list is applied before the running sum; it names whole keys, so sums do not change.
     """
-    keyed = ledger.filter(F.col("bank_transaction_date") <= F.lit(until)).withColumn(
+    keyed = _in_event_range(ledger.filter(F.col("bank_transaction_date") <= F.lit(until)), uids).withColumn(
         "uid", event_uid(F.col("event_id"), F.col("transaction_category"))
     )
     daily = (
@@ -83,6 +83,15 @@ def aging_first_negative(
     )
 
 
+def _in_event_range(ledger: DataFrame, uids: Sequence[str] | DataFrame) -> DataFrame:
+    """The part of the ledger between the smallest and the largest listed event, a filter that reaches the scan."""
+    if isinstance(uids, DataFrame):
+        return ledger
+    heads = [uid.partition("x")[0] for uid in uids if uid is not None]
+    events = [int(head) for head in heads if head.isascii() and head.removeprefix("-").isdigit()]
+    return ledger.filter(F.col("event_id").between(min(events), max(events))) if events else ledger
+
+
 def null_event_netting(ledger: DataFrame, until: datetime.date) -> DataFrame:
     """Negative balances of entries without event, per owner; their key is NULL by construction."""
     rows = ledger.filter((F.col("bank_transaction_date") <= F.lit(until)) & F.col("event_id").isNull())

@@ -165,9 +165,11 @@ def outstanding_checks(
     cleared = statement.select(
         F.col("id").alias("bank_id"), F.col("date").alias("bt_date"), F.round("signed_amount", 2).cast("decimal(18,2)").alias("bt_amount")
     )
-    # Where the cheque cleared: reconciliations first meet the bank, then the cheque.
+    # Where the cheque cleared: reconciliations of sent cheques meet the bank.
     clearing = left_join_spreading_nulls(
-        reconciliations.filter(F.col("record_type") == "CheckPayment").select("record_id", "transaction_id"),
+        reconciliations.filter(F.col("record_type") == "CheckPayment")
+        .select("record_id", "transaction_id")
+        .join(sent.select("check_id"), F.col("record_id") == F.col("check_id"), "left_semi"),
         cleared,
         [("transaction_id", "bank_id")],
     ).select(F.col("record_id").alias("cleared_check"), "bt_date", "bt_amount").distinct()

@@ -93,11 +93,14 @@ def _records_by_category(
         F.col("id").alias("record"), "origination_account_id", "bank_name", "bank_account", "bank_transaction_ids",
         "reconciled", "bank_transaction_date",
     )
-    # Entries are summed per record first. Of the owner the flag only asks whether it
+    # Entries of the chosen records are summed per record first. Of the owner the flag only asks whether it
     # counts, so a record of very many entries shrinks to a few rows before the join.
     owner = F.col("on_behalf_of_id")
     counts = owner.isNotNull() & none_of(owner, excluded_owners)
-    moved = entries.groupBy(
+    of_chosen = entries.join(
+        chosen.select("record").distinct(), F.col("payment_record_id") == F.col("record"), "left_semi"
+    )
+    moved = of_chosen.groupBy(
         "payment_record_id", "transaction_category", F.coalesce(counts, F.lit(False)).alias("owner_counts")
     ).agg(
         F.count(F.lit(1)).alias("n"),

@@ -268,7 +268,7 @@ def penalty_group_inquiry(
         statement.filter(F.col("date").between(F.lit(start), F.lit(end)))
         .select(F.col("id").alias("bank_id"), "bank_account", F.col("date").alias("bank_transaction_date"))
         .join(
-            reconciliations.select("record_id", "record_type", "transaction_id"),
+            reconciliations.filter(F.col("record_type") == "NachaBatch").select("record_id", "record_type", "transaction_id"),
             F.col("bank_id") == F.col("transaction_id"),
             "inner",
         )

@@ -24,10 +24,12 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a folder of this machine is made.
+    Only where that is unset and Spark runs on this machine alone, as in tests, a folder of this machine is made.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return tempfile.mkdtemp(prefix="tallybook-")
     token = spark.sql("SELECT uuid()").first()[0]
     return f"{shared.rstrip('/')}/tallybook-{token}"

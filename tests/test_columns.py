@@ -46,19 +46,27 @@ def test_large_cents_keep_every_digit(spark):
 
 
 def test_paren_amounts(spark):
-    rows = [("1,234.56",), ("(1,234.56)",), ("0.10",), ("(7)",), ("n/a",), (None,), ("",)]
+    rows = [("1,234.56",), ("(1,234.56)",), ("0.10",), ("(7)",), ("5.00 ",), (None,), ("",)]
     assert values(spark, "t string", rows, amounts.parse_paren_amount(c("t"))) == [
-        D("1234.56"), D("-1234.56"), D("0.10"), D("-7.00"), None, None, None,
+        D("1234.56"), D("-1234.56"), D("0.10"), D("-7.00"), D("5.00"), None, None,
     ]
+    with pytest.raises(Exception, match="not an amount: 'n/a'"):
+        values(spark, "t string", [("n/a",)], amounts.parse_paren_amount(c("t")))
 
 
 def test_mixed_dates(spark):
-    rows = [("03/05/2024",), ("03/05/24",), ("3/5/24",), ("45356",), ("",), (None,), ("13/45/24",), ("x",), ("03/05/024",)]
+    rows = [("03/05/2024",), ("03/05/24",), ("3/5/24",), ("45356",), ("",), (None,), ("03/05/2024 ",), ("45356.0",), (" ",)]
     assert values(spark, "t string", rows, dates.parse_mixed_date(c("t"))) == [
-        DAY(2024, 3, 5), DAY(2024, 3, 5), DAY(2024, 3, 5), DAY(2024, 3, 5), None, None, None, None, None,
+        DAY(2024, 3, 5), DAY(2024, 3, 5), DAY(2024, 3, 5), DAY(2024, 3, 5), None, None, DAY(2024, 3, 5), DAY(2024, 3, 5), None,
     ]
 
 
+@pytest.mark.parametrize("text", ["13/45/24", "x", "03/05/024"])
+def test_unreadable_dates_are_errors(spark, text):
+    with pytest.raises(Exception, match=f"not a date: '{text}'"):
+        values(spark, "t string", [(text,)], dates.parse_mixed_date(c("t")))
+
+
 def test_strict_dates_take_two_digit_years_only(spark):
     rows = [("12/31/23",), ("12/31/2023",), ("45356",), ("",), ("01/02/71",)]
     assert values(spark, "t string", rows, dates.parse_date_or_null(c("t"))) == [

@@ -88,13 +88,16 @@ def test_not_in_subquery_equals_sql(spark, rows, listed):
     assert rows(filters.not_in_subquery(df, "k", sub)) == rows(want)
 
 
-def test_id_list_filter_takes_lists_and_tables(spark, rows, monkeypatch):
+def test_id_list_filter_takes_lists_and_tables(spark, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "k long, v string")
     want = [(2, "b"), (2, "c")]
     assert rows(filters.id_list_filter(df, "k", [2, 9])) == want
     assert rows(filters.id_list_filter(df, "k", spark.createDataFrame([(2,), (2,), (None,)], "x long"))) == want
-    monkeypatch.setattr(filters, "MAX_LITERAL_KEYS", 1)
-    assert rows(filters.id_list_filter(df, "k", [2, 9])) == want
+    for more in (10, 20_000):
+        ids = [None, "2", "2", *map(str, range(100, 100 + more))]
+        assert rows(filters.id_list_filter(df, "k", ids)) == want
+        assert rows(filters.id_list_filter(df, "k", spark.createDataFrame([(i,) for i in ids], "x string"))) == want
+    assert rows(filters.id_list_filter(df, "k", [])) == []
 
 
 def test_any_nonzero_drops_all_null_rows(spark, rows):
