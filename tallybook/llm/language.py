@@ -252,6 +252,8 @@ def _labelled(model: Model, texts: pd.Series) -> pd.DataFrame:
     shares = model.shares([t or "" for t in texts])
     best = shares.argmax(axis=1)
     score = np.clip(shares[np.arange(len(best)), best], 0, 1)
+    # Superscripts and the like form words without a letter.
+    score[[not any(map(str.isalpha, t or "")) for t in texts]] = 0
     names = np.array([*model.labels, UNKNOWN], object)
     return pd.DataFrame({"lang_pred": names[np.where(score > 0, best, len(model.labels))], "score": score})
 

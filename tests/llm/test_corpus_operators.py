@@ -432,3 +432,10 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(-40, 60)] + [(100, 101)], "u long, v long")
     roots = {r.x: r.root for r in jaccard.components(edges, jaccard.Scratch(spark)).collect()}
     assert set(roots[i] for i in range(-40, 61)) == {-40} and roots[101] == roots[100] == 100
+
+
+def test_words_without_a_letter_have_no_language():
+    model = language.train([("en", "the cat sat on the mat"), ("de", "die Katze lag auf der Matte")])
+    found = language._labelled(model, pd.Series(["²³ ½", "12 34", None, "", "the cat", "² Katze"]))
+    assert found["lang_pred"].tolist() == ["und"] * 4 + ["en", "de"]
+    assert (found["score"][:4] == 0).all() and (found["score"][4:] > 0).all()
