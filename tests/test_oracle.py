@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from checks import catalog
 from checks.fixtures import BASE_TABLES
 from tests.tieout import as_sorted_rows
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = driver.queries()
-ORACLES = driver.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,6 +23,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
