@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding
+from tallybook.llm import (
+    alignment, bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding, token_files,
+)
 from tallybook.llm.common import table
+from tallybook.session import scratch_folder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +69,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_folder(spark)}/tokens"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, BYTE_VOCABULARY)
+    return token_files.file_digests(spark, folder)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,6 +92,8 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_licences,
         op10_jaccard_join,
+        op12_token_files,
+        op13_alignment,
     )
 }
 
