@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm import (
-    alignment, bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding, token_files,
+    alignment, bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding, spelling, token_files,
 )
 from tallybook.llm.common import table
 from tallybook.session import scratch_folder
@@ -69,6 +69,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{scratch_folder(spark)}/tokens"
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, BYTE_VOCABULARY)
@@ -92,6 +96,7 @@ QUERIES: dict[str, Query] = {
         op8_mixing,
         op9_licences,
         op10_jaccard_join,
+        op11_spelling,
         op12_token_files,
         op13_alignment,
     )
