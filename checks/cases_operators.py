@@ -7,8 +7,8 @@ from tallybook.operators import asof, entries, filters, joins, matching, populat
 from tallybook.params import period_params
 from tallybook.plans import cash, netting
 from tallybook.session import scratch_folder
-from tallybook.sources.csv_ingest import read_typed_csv
-from tallybook.sources.tables import table_scan, write_csv
+from tallybook.sources.csv_ingest import csv_ingest
+from tallybook.sources.tables import table_scan, write_csv, write_table
 
 c = F.col
 
@@ -93,31 +93,39 @@ def negative_sql(end: str) -> str:
   WHERE uid IS NOT NULL GROUP BY uid"""
 
 
-def _csv_roundtrip(t):
-    """Write the customers as CSV files, then read them back with inferred types."""
-    folder = scratch_folder(t.spark) + "/customer.csv"
+def _csv_loaded(t):
+    """Write the customers as CSV files, find them by name, load them over an earlier table and read that."""
+    folder = scratch_folder(t.spark)
+    key = c("c_custkey")
     text = t.customer.select(
-        c("c_custkey").alias("whole"),
-        F.when(c("c_custkey") % 5 != 0, c("c_nationkey")).alias("whole_with_gaps"),
+        key.alias("whole"),
+        F.when(key % 5 != 0, c("c_nationkey")).alias("whole_with_gaps"),
         c("c_acctbal").alias("number"),
-        (c("c_custkey") % 2 == 0).cast("string").alias("flag"),
-        F.when(c("c_custkey") % 3 != 0, (c("c_custkey") % 2 == 0).cast("string")).alias("flag_with_gaps"),
+        (key % 2 == 0).cast("string").alias("flag"),
+        F.when(key % 3 != 0, (key % 2 == 0).cast("string")).alias("flag_with_gaps"),
         F.lit("2024-01-31").alias("date_text"),
-        F.concat(F.lit('say "'), c("c_name"), F.lit('", please')).alias("quoted"),
+        F.concat(F.lit('say "'), c("c_name"), F.when(key % 7 == 0, F.lit('",\nplease')).otherwise('", please')).alias("quoted"),
         F.lit("").alias("blank"),
+        F.concat(c("c_mktsegment"), F.when(key % 11 == 0, F.lit("\n\n")).otherwise("")).alias("_surplus"),
     )
-    write_csv(text, folder)
-    return read_typed_csv(t.spark, folder)
+    write_csv(text, f"{folder}/deep/[in]/customer[1].csv")
+    write_csv(text.limit(1), f"{folder}/deep/[in]/customer1.csv")
+    table = "csv_loaded_" + folder.rpartition("-")[2].replace("-", "_")
+    write_table(t.region, table, path=f"{folder}/table")
+    return csv_ingest(t.spark, folder, "customer[1].csv", table, path=f"{folder}/table")
 
 
 CASES = {
     "table_scan": (lambda t: table_scan(t.spark, "customer", t.folder), "SELECT * FROM customer"),
     "csv_ingest": (
-        _csv_roundtrip,
+        _csv_loaded,
         """SELECT c_custkey AS whole, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS whole_with_gaps,
   c_acctbal AS number, c_custkey % 2 = 0 AS flag,
   CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 2 = 0 AS VARCHAR) END AS flag_with_gaps,
-  '2024-01-31' AS date_text, 'say "' || c_name || '", please' AS quoted, CAST(NULL AS DOUBLE) AS blank
+  '2024-01-31' AS date_text,
+  'say "' || c_name || '",' || CASE WHEN c_custkey % 7 = 0 THEN chr(10) ELSE ' ' END || 'please' AS quoted,
+  CAST(NULL AS DOUBLE) AS blank,
+  c_mktsegment || CASE WHEN c_custkey % 11 = 0 THEN chr(10) || chr(10) ELSE '' END AS _surplus
 FROM customer""",
     ),
     "operating_account_filter": (

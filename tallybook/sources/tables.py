@@ -19,8 +19,9 @@ def write_table(
     partition_by: Sequence[str] = (),
     bucket_by: Sequence[str] = (),
     buckets: int = 0,
+    path: str | None = None,
 ) -> None:
-    """Save as a catalog table.
+    """Save as a catalog table, its data below ``path`` if given.
 
     Dated copies are best partitioned by their snapshot date: each report reads one to
     three of them. Bucketing by a join key saves its shuffle, but a bucket is one task
@@ -31,12 +32,15 @@ def write_table(
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
         writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    if path is not None:
+        writer = writer.option("path", path)
     writer.saveAsTable(table)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a report for accountants; every partition writes its own file."""
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """Write a report for accountants; every partition writes its own file. Values keep blanks and line breaks at their ends."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, escape='"', **keep).csv(path)
 
 
 def write_jdbc(

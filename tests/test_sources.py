@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.params import DateRange, period_params
@@ -63,13 +64,95 @@ def test_line_breaks_in_quotes(spark, tmp_path):
     assert sorted((r.a, r.b) for r in df.collect()) == [(1, "two\nlines"), (2, "plain")]
 
 
+def many_breaks(n: int) -> list[tuple[int, str, str]]:
+    texts = ["plain", "two\nlines", 'say ""x""', "a,b", "\n\n", "end\n", "long " * 400 + "\n" * 50]
+    return [(i, texts[i % 7] if i % 3 else texts[0], f"z{i}") for i in range(n)]
+
+
+@pytest.fixture
+def small_blocks(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for key in old:
+        spark.conf.set(key, "1000")
+    yield spark
+    for key, value in old.items():
+        spark.conf.set(key, value)
+
+
+def test_records_that_cross_blocks(small_blocks, tmp_path):
+    rows = many_breaks(400)
+    text = "".join(f'{i},"{t}",{z}\n' for i, t, z in rows)
+    (tmp_path / "m.csv").write_text('number,"a\nname",_surplus\n' + text)
+    lines = ingest._lines(small_blocks, str(tmp_path / "m.csv"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    lines = small_blocks.read.parquet(str(tmp_path / "lines"))
+    assert lines.select("block").distinct().count() > 30
+    assert ingest.split_records(lines).count() == 400
+    df = ingest.read_typed_csv(small_blocks, str(tmp_path / "m.csv"))
+    assert df.columns == ["number", "a\nname", "_surplus"]
+    assert sorted(tuple(r) for r in df.collect()) == [(i, t.replace('""', '"'), z) for i, t, z in rows]
+
+
+def test_a_folder_of_files_with_line_breaks(small_blocks, tmp_path):
+    for n in range(3):
+        text = "".join(f'{n * 100 + i},"{t}",{z}\r\n' for i, t, z in many_breaks(40))
+        (tmp_path / f"part-{n}.csv").write_bytes(("number,t,z\r\n" + text + "\r\n").encode())
+    df = ingest.read_typed_csv(small_blocks, str(tmp_path))
+    want = [(n * 100 + i, t.replace('""', '"'), z) for n in range(3) for i, t, z in many_breaks(40)]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_one_line_break_leaves_many_tasks(small_blocks, tmp_path):
+    text = "".join(f'{i},"{"x" * 50}"\n' for i in range(2000)) + '2000,"a\nb"\n'
+    (tmp_path / "m.csv").write_text("i,t\n" + text)
+    small_blocks.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = ingest.read_typed_csv(small_blocks, str(tmp_path / "m.csv"))
+    small_blocks.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    used = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in used) == 2001 and len(used) >= 4 and max(r["count"] for r in used) < 1200
+
+
+def test_quotes_in_plain_values(spark, tmp_path):
+    for n, first in enumerate(['5" pipe,"x\ny"', '5" pipe,6" pipe', '5" pipe,6']):
+        (tmp_path / f"m{n}.csv").write_text(f'a,b\n{first}\n2,"z"\n')
+        df = ingest.read_typed_csv(spark, str(tmp_path / f"m{n}.csv"))
+        want = ['x\ny', '6" pipe', "6"][n]
+        assert sorted(tuple(r) for r in df.collect()) == [("2", "z"), ('5" pipe', want)]
+
+
+def test_names_are_compared_as_they_are(spark, tmp_path):
+    (tmp_path / "a [b]").mkdir()
+    (tmp_path / "a [b]" / "rep[1].csv").write_text("a\n1\n")
+    (tmp_path / "rep1.csv").write_text("a\n2\n")
+    df = ingest.csv_ingest(spark, str(tmp_path), "rep[1].csv", "named")
+    assert [tuple(r) for r in df.collect()] == [(1,)]
+    with pytest.raises(FileNotFoundError):
+        ingest.find_csv(spark, str(tmp_path), "rep*.csv")
+
+
+def test_missing_and_repeated_names(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,,A,b\n1,2,3,4\n")
+    df = ingest.read_typed_csv(spark, str(tmp_path / "n.csv"))
+    assert df.columns == spark.read.csv(str(tmp_path / "n.csv"), header=True).columns and df.count() == 1
+
+
+def test_a_folder_counts_as_the_file_of_its_name(spark, tmp_path):
+    write_csv(spark.range(5).repartition(3), str(tmp_path / "deep" / "numbers.csv"))
+    assert ingest.find_csv(spark, str(tmp_path), "numbers.csv").endswith("/deep/numbers.csv")
+    assert ingest.csv_ingest(spark, str(tmp_path), "numbers.csv", "numbered", path=str(tmp_path / "table")).count() == 5
+    assert (tmp_path / "table").is_dir()
+
+
 def test_rows_with_surplus_values_are_refused_and_short_ones_filled(spark, tmp_path):
-    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
-    with pytest.raises(ValueError):
-        ingest.read_typed_csv(spark, str(tmp_path / "long.csv"))
+    for n, text in enumerate(["a,_surplus\n1,2\n3,4,5\n", 'a,_surplus\n1,"x\ny"\n3,4,5\n']):
+        (tmp_path / f"long{n}.csv").write_text(text)
+        with pytest.raises(ValueError, match="more values"):
+            ingest.read_typed_csv(spark, str(tmp_path / f"long{n}.csv"))
     (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
     df = ingest.read_typed_csv(spark, str(tmp_path / "short.csv"))
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2.0), (3, None)]
+    (tmp_path / "named.csv").write_text("_surplus,_surplus_\n1,2\n")
+    assert [tuple(r) for r in ingest.read_typed_csv(spark, str(tmp_path / "named.csv")).collect()] == [(1, 2)]
 
 
 def test_csv_sink_reads_back(spark, tmp_path):
