@@ -1,66 +1,54 @@
 """Running sums that keep a hot key off a single task."""
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions.amounts import TOTAL
+from tallybook.session import scratch_folder
 
-# Owners of one event and day are cut into ranges of about this many rows, each summed on its own.
+# Ranges of the running order hold about this many rows.
 SLICE_ROWS = 100_000
 
+ORDER = ("uid", "bank_transaction_date", "pr_on_behalf_of_id")
+
 
-def with_owner_slices(daily: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
-    """Add ``owner_slice``, the range of owners that a row of a (uid, date) is in.
+def in_ranges(daily: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
+    """``daily`` with ``part``, its range of (uid, date, owner): ascending, of about equal rows, however ids are spread.
 
-    Ranges ascend with the owner, so (slice, owner) sorts as the owner does, whatever ``rows`` is. They are of
-    equal width in ids; their number grows with the rows of the uid and date.
+    The ranges come from a sample that another read could draw otherwise, so rows and their ``part`` are stored once.
     """
-    owner = F.col("pr_on_behalf_of_id").cast("decimal(20,0)")
-    spread = daily.groupBy(F.col("uid").alias("_of_uid"), F.col("bank_transaction_date").alias("_of_date")).agg(
-        F.min(owner).alias("_least"),
-        (F.floor((F.max(owner) - F.min(owner)) / F.ceil(F.count(F.lit(1)) / rows)) + 1).alias("_width"),
-    )
-    same_day = F.col("uid").eqNullSafe(F.col("_of_uid")) & (F.col("bank_transaction_date") == F.col("_of_date"))
-    return (
-        daily.join(spread, same_day, "inner")
-        .withColumn("owner_slice", F.floor((owner - F.col("_least")) / F.col("_width")).cast("long"))
-        .drop("_of_uid", "_of_date", "_least", "_width")
-    )
+    spark, counted = daily.sparkSession, Observation()
+    folder = scratch_folder(spark)
+    daily.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/daily")
+    stored = spark.read.schema(daily.schema).parquet(f"{folder}/daily")
+    parts = min(math.ceil(counted.get["rows"] / rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if parts <= 1:
+        return stored.withColumn("part", F.lit(0))
+    ranged = stored.repartitionByRange(parts, *ORDER).withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(f"{folder}/ranged")
+    return spark.read.schema(ranged.schema).parquet(f"{folder}/ranged")
 
 
 def running_balance(daily: DataFrame, rows: int = SLICE_ROWS) -> DataFrame:
     """Running balance per ``uid`` over (date, owner).
 
-    ``daily`` has one row per uid, date and owner. Two short windows replace one long
-    one: the first runs over the slice totals of a uid, the second over the owners within a slice.
+    ``daily`` has one row per uid, date and owner. It is a prefix sum in two levels: rows are summed up within their
+    range, and the totals of a uid's ranges give what each range starts from. A uid of very many rows, on one day or
+    on many, fills several ranges, and so several tasks.
     """
-    sliced = with_owner_slices(daily, rows)
-    keys = ["uid", "bank_transaction_date", "owner_slice"]
-    totals = sliced.groupBy(*keys).agg(F.sum("balance").alias("_total"))
-    earlier = (
-        Window.partitionBy("uid")
-        .orderBy("bank_transaction_date", "owner_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = totals.select(
-        F.col("uid").alias("_uid"),
-        F.col("bank_transaction_date").alias("_date"),
-        F.col("owner_slice").alias("_slice_no"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"),
-    )
-    within = (
-        Window.partitionBy(*keys)
-        .orderBy("pr_on_behalf_of_id")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    summed = sliced.withColumn("_within", F.sum("balance").over(within))
-    same_slice = (
-        F.col("uid").eqNullSafe(F.col("_uid"))
-        & (F.col("bank_transaction_date") == F.col("_date"))
-        & F.col("owner_slice").eqNullSafe(F.col("_slice_no"))
+    ranged = in_ranges(daily, rows)
+    totals = ranged.groupBy("uid", "part").agg(F.sum("balance").alias("_total"))
+    earlier = Window.partitionBy("uid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        F.col("uid").alias("_uid"), F.col("part").alias("_part"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
     )
+    within = Window.partitionBy("uid", "part").orderBy(*ORDER[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumn("_within", F.sum("balance").over(within))
+    same_range = F.col("uid").eqNullSafe(F.col("_uid")) & (F.col("part") == F.col("_part"))
     return (
-        summed.join(offsets, same_slice, "inner")
+        summed.join(before, same_range, "inner")
         .withColumn("running_balance", (F.col("_before") + F.col("_within")).cast(TOTAL))
-        .drop("_uid", "_date", "_slice_no", "_before", "_within")
+        .drop("_uid", "_part", "_before", "_within", "part")
     )
