@@ -32,7 +32,7 @@ def payment_entries(
         "transmission_type", "transaction_type", "payment_record_entries_sum",
     )
     entries = entries.select(*ENTRY_COLUMNS)
-    return left_join_repeating(records, entries, [("id", "payment_record_id")])
+    return left_join_repeating(records, entries, [("id", "payment_record_id")], null_keys="never")
 
 
 def event_entries(entries: DataFrame, excluded_owners: Sequence[int] = ()) -> DataFrame:

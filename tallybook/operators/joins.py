@@ -1,5 +1,7 @@
 """Joins that need more than one call of ``DataFrame.join``."""
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -36,20 +38,50 @@ def left_join_spreading_nulls(
 
 
 def left_join_repeating(
-    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]]
+    left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], null_keys: str = "apart"
 ) -> DataFrame:
     """Left outer equi-join to a side where one key may hold any share of the rows.
 
-    Spark splits a frequent key on the right of an inner join at run time, but not on the
-    right of an outer one. So partners come from an inner join and rows without partner
-    from an anti join on de-duplicated keys. ``left`` is planned twice; keep it cheap.
+    Spark splits a frequent key on the right of an inner join at run time, but not on the right of an outer one. So
+    the right side is completed: keys that only the left has get a row of NULLs. Then one inner join gives all rows.
+    Only the key columns of ``left`` are planned a second time.
+
+    ``null_keys`` says what becomes of left rows with a NULL in their key, which match nothing. ``apart``: they are
+    read on their own, best where ``left`` is a scan, whose file statistics then rule most files out. ``together``: they
+    pass through the join as a key of its own, best where ``left`` is the result of work. ``never``: there are none,
+    and one is an error.
     """
-    partners = left.join(right, _equal(on), "inner")
-    keys = right.select(*[F.col(name) for _, name in on]).distinct()
-    alone = left.join(keys, _equal(on), "left_anti").select(
-        "*", *[F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema]
+    left_keys, right_keys = [name for name, _ in on], [f"_key_{n}" for n in range(len(on))]
+    some_null = functools.reduce(operator.or_, [F.col(name).isNull() for name in left_keys])
+    keyed = left.select(*[F.col(name).alias(k) for name, k in zip(left_keys, right_keys)])
+    if null_keys == "apart":
+        keyed = keyed.dropna()
+    elif null_keys == "never":
+        error = F.raise_error(F.lit(f"a key of {', '.join(left_keys)} is NULL"))
+        keyed = keyed.select(*[F.when(F.col(k).isNull(), error).otherwise(F.col(k)).alias(k) for k in right_keys])
+    elif null_keys != "together":
+        raise ValueError(f"unsupported treatment of NULL keys {null_keys!r}")
+    known = right.select(*[F.col(r).alias(k) for (_, r), k in zip(on, right_keys)]).dropna()
+    both = keyed.withColumn("_left_only", F.lit(True)).unionByName(known.withColumn("_left_only", F.lit(False)))
+    missing = both.groupBy(*right_keys).agg(F.min("_left_only").alias("_left_only")).filter("_left_only")
+    keys_of = {r: k for (_, r), k in zip(on, right_keys)}
+    nothing = {field.name: F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema}
+    payload = [name for name in right.columns if name not in keys_of]
+    # Each key is carried once, so that tables bucketed by it stay so.
+    matching = right.dropna(subset=list(keys_of)).select(
+        *payload, *[F.col(r).alias(k) for r, k in keys_of.items()], F.lit(True).alias("_found")
     )
-    return partners.unionByName(alone)
+    completed = matching.unionByName(missing.select(*[nothing[name] for name in payload], *right_keys, F.lit(False).alias("_found")))
+    pairs = list(zip(left_keys, right_keys))
+    condition = _equal(pairs)
+    if null_keys == "together":
+        condition = functools.reduce(operator.and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
+    restored = [
+        F.when(F.col("_found"), F.col(keys_of[f.name])).cast(f.dataType).alias(f.name) if f.name in keys_of else F.col(f.name)
+        for f in right.schema
+    ]
+    joined = left.join(completed, condition, "inner").select(*left.columns, *restored)
+    return joined.unionByName(left.filter(some_null).select("*", *nothing.values())) if null_keys == "apart" else joined
 
 
 def _equal(on: Sequence[tuple[str, str]]) -> Column:
@@ -59,13 +91,21 @@ def _equal(on: Sequence[tuple[str, str]]) -> Column:
     return condition
 
 
-def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Emit each row as often as the column says, without ever building one long array."""
-    chunk = 100_000
-    chunks = F.ceil(F.col(copies) / F.lit(chunk)).cast("long")
+# Copies of a row that one task makes at a time.
+COPIES_TOGETHER = 10_000
+
+
+def repeat_rows(df: DataFrame, copies: str, together: int = COPIES_TOGETHER) -> DataFrame:
+    """Emit each row as often as the column says, many copies of a row by several tasks.
+
+    A row is first multiplied by the number of its chunks, then chunks are dealt out, and each is multiplied by its
+    size, so neither a task nor an array holds all copies of a frequent row.
+    """
+    chunks = F.ceil(F.col(copies) / F.lit(together)).cast("long")
     numbered = df.withColumn("_chunk", F.explode(F.sequence(F.lit(1).cast("long"), chunks)))
-    inside = F.least(F.lit(chunk).cast("long"), F.col(copies) - (F.col("_chunk") - 1) * chunk)
-    return numbered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).drop(
+    dealt = numbered.repartition(*[F.col(f"`{name}`") for name in numbered.columns])
+    inside = F.least(F.lit(together).cast("long"), F.col(copies) - (F.col("_chunk") - 1) * together)
+    return dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), inside))).drop(
         "_chunk", "_copy", copies
     )
 
@@ -93,7 +133,7 @@ def investigation_with_category(
         named = links.join(categories, F.col("_balance_id") == F.col("_id"), "inner").drop("_id", "_balance_id")
         return investigations.join(named, F.col("id") == F.col("_investigation"), "inner").drop("_investigation")
     named = left_join_spreading_nulls(links, categories, [("_balance_id", "_id")]).drop("_id", "_balance_id")
-    return left_join_repeating(investigations, named, [("id", "_investigation")]).drop("_investigation")
+    return left_join_repeating(investigations, named, [("id", "_investigation")], null_keys="never").drop("_investigation")
 
 
 def polymorphic_join(
@@ -101,52 +141,38 @@ def polymorphic_join(
 ) -> DataFrame:
     """Join on ``(record_id, record_type)`` equal to any of several (key column, type) pairs.
 
-    The OR of equalities becomes one equi-join: every left row lists the pairs it has a
-    key for and is joined once per pair. For a left join the pairs without partner are
-    dropped first, so a row left without pairs is known to match nothing and kept once.
+    The OR of equalities becomes one equi-join: every left row lists the pairs it has a key for and is joined once
+    per pair. For a left join only the distinct tuples of keys are listed and find their records; then the left rows,
+    moved once, meet the records of their tuple.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     if len({record_type for _, record_type in pairs}) < len(pairs):
         raise ValueError("each record type may be listed once")
     record_columns = [c for c in records.columns if c not in ("record_id", "record_type")]
+    records = records.filter(F.col("record_type").isin([record_type for _, record_type in pairs]))
     records = records.withColumnsRenamed({"record_id": "_record_id", "record_type": "_record_type"})
-    present: dict[str, Column] = {}
-    for key, record_type in pairs:
-        present[record_type] = F.col(key).isNotNull()
-    if how == "left":
-        for number, (key, record_type) in enumerate(pairs):
-            partner = f"_partner_{number}"
-            known = (
-                records.filter(F.col("_record_type") == record_type)
-                .select(F.col("_record_id").alias(partner))
-                .distinct()
-            )
-            left = left_join_spreading_nulls(left, known, [(key, partner)])
-            present[record_type] = F.col(partner).isNotNull()
-    candidates = F.array_compact(
+    wanted = F.array_compact(
         F.array(
             *[
-                F.when(
-                    present[record_type],
-                    F.struct(F.col(key).cast("long").alias("id"), F.lit(record_type).alias("type")),
-                )
+                F.when(F.col(key).isNotNull(), F.struct(F.col(key).cast("long").alias("id"), F.lit(record_type).alias("type")))
                 for key, record_type in pairs
             ]
         )
     )
-    kept = [c for c in left.columns if not c.startswith("_partner_")]
-    listed = left.withColumn("_candidates", candidates)
-    wanted = listed.withColumn("_candidate", F.explode("_candidates")).withColumns(
-        {"_want_id": F.col("_candidate.id"), "_want_type": F.col("_candidate.type")}
-    )
-    # An inner join, so that a frequent record on either side is split at run time.
-    partners = wanted.join(
-        records, _equal([("_want_id", "_record_id"), ("_want_type", "_record_type")]), "inner"
-    ).select(*kept, *record_columns)
+    same_record = (F.col("_want.id") == F.col("_record_id")) & (F.col("_want.type") == F.col("_record_type"))
+    # Inner joins, so that a frequent record on either side is split at run time.
     if how == "inner":
-        return partners
-    alone = listed.filter(F.size("_candidates") == 0).select(
-        *kept, *[F.lit(None).cast(records.schema[c].dataType).alias(c) for c in record_columns]
+        return (
+            left.withColumn("_want", F.explode(wanted)).join(records, same_record, "inner").select(*left.columns, *record_columns)
+        )
+    keys = list(dict.fromkeys(key for key, _ in pairs))
+    tuples = left.select(*keys).distinct()
+    listed = F.concat_ws("|", *[F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")) for key in keys])
+    resolved = (
+        tuples.select(listed.alias("_tuple"), F.explode(wanted).alias("_want"))
+        .join(records, same_record, "inner")
+        .select("_tuple", *record_columns)
     )
-    return partners.unionByName(alone)
+    keyed = left.withColumn("_keys", listed)
+    return left_join_repeating(keyed, resolved, [("_keys", "_tuple")], null_keys="never").drop("_keys", "_tuple")

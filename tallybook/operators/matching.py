@@ -1,5 +1,7 @@
 """Matching of two or more populations."""
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -83,16 +85,35 @@ def unmatched_journal(bank: DataFrame, journal: DataFrame) -> DataFrame:
     return _with_scenario(left.withColumns(empty))
 
 
+# Unmatched bank transactions are spread over this many slots.
+SLOTS = 256
+
+
 def match_classify(bank: DataFrame, journal: DataFrame) -> DataFrame:
     """All rows of both sides with their scenario; NULL where neither side has an id.
 
-    This is a full outer join in two parts, since Spark can split a hot key of a left
-    join but not of a full one. Reports that need one scenario call the part they need.
+    This is a full outer join, but Spark can split a hot key on the left of a left join, not one of a full join. So
+    bank transactions first learn whether a line names them. Those that none names then wait in slots, where an empty
+    line that is added for each slot meets them, and one left join of the lines gives all rows. The bank side, which
+    is the result of a chain of joins, is planned once. Lines without an id are spread as well.
     """
-    lines = left_join_spreading_nulls(
-        _journal_side(journal), _bank_side(bank), [("je_bank_transaction_id", "_bank_key")]
-    )
-    return _with_scenario(lines).unionByName(unmatched_bank(bank, journal))
+    lines, banks = _journal_side(journal), _bank_side(bank)
+    named = journal.select(F.col("bank_transaction_id").alias("_named")).distinct()
+    known = banks.join(named, F.col("_bank_key") == F.col("_named"), "left")
+    is_named = F.col("_named").isNotNull()
+    slot = F.lit(1) + F.pmod(F.xxhash64("bank_transaction_id"), F.lit(SLOTS))
+    waiting = known.select(
+        *banks.columns, F.when(is_named, F.lit(0)).otherwise(slot).alias("_slot"), F.col("_named").alias("_wanted"),
+        F.lit(True).alias("_there"),
+    )
+    key = F.col("je_bank_transaction_id")
+    apart = -1 - F.pmod(F.xxhash64(*lines.columns), F.lit(SLOTS))
+    slotted = lines.withColumn("_at", F.when(key.isNull(), apart).otherwise(F.lit(0).cast("long")))
+    empty = [F.lit(None).cast(field.dataType).alias(field.name) for field in lines.schema]
+    with_empty = slotted.unionByName(bank.sparkSession.range(1, SLOTS + 1).select(*empty, F.col("id").alias("_at")))
+    meets = (F.col("_at") == F.col("_slot")) & key.eqNullSafe(F.col("_wanted"))
+    joined = with_empty.join(waiting, meets, "left").filter((F.col("_at") <= 0) | F.col("_there"))
+    return _with_scenario(joined)
 
 
 def priority_match(
@@ -105,30 +126,37 @@ def priority_match(
     """Label base rows by the first population that holds their ``uid``.
 
     Each population brings a ``uid`` column. A key that occurs n times in a population
-    gives n rows, as the reports expect. Keys are counted before the join, so each join
-    meets one row per key, and the copies are made at the end.
+    gives n rows, as the reports expect. Keys of all populations are counted together before
+    one join, which meets one row per key, and the copies are made at the end, spread over tasks.
     """
     text = F.when(F.lit(False), F.lit(None).cast("string"))
     rank = F.when(F.lit(False), F.lit(None).cast("int"))
-    copies = F.lit(1).cast("long")
-    columns = base.columns
-    for number, (population, name) in enumerate(populations, 1):
-        joined, held = f"_uid_{number}", f"_n_{number}"
-        base = base.join(
-            key_counts(population).toDF(joined, held), F.col("uid") == F.col(joined), "left"
-        )
-        text = text.when(F.col(held).isNotNull(), name)
-        rank = rank.when(F.col(held).isNotNull(), number)
-        copies = copies * F.coalesce(F.col(held), F.lit(1))
-    labelled = base.select(
-        *columns,
+    counted = with_population_counts(base, [population for population, _ in populations])
+    for number, (_, name) in enumerate(populations, 1):
+        text = text.when(F.col(f"_n_{number}") > 0, name)
+        rank = rank.when(F.col(f"_n_{number}") > 0, number)
+    labelled = counted.select(
+        *base.columns,
         text.otherwise(default).alias(label),
         rank.otherwise(len(populations) + 1).cast("int").alias(priority),
-        copies.alias("_copies"),
+        "_copies",
     )
     return repeat_rows(labelled, "_copies")
 
 
-def key_counts(population: DataFrame) -> DataFrame:
-    """Number of rows per ``uid``; combined before the shuffle."""
-    return population.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
+def with_population_counts(base: DataFrame, populations: Sequence[DataFrame]) -> DataFrame:
+    """``base`` with ``_n_1``, ``_n_2``..., the rows of each population with its ``uid``, and ``_copies``, what joins to all would make of a row.
+
+    Populations are counted in one grouping, combined before its shuffle. Rows of ``base`` with a NULL ``uid`` match nothing and are spread.
+    """
+    tagged = [p.select(F.col("uid").alias("_uid"), F.lit(n).alias("_of")) for n, p in enumerate(populations, 1)]
+    numbers = range(1, len(populations) + 1)
+    counts = (
+        functools.reduce(DataFrame.unionByName, tagged)
+        .filter(F.col("_uid").isNotNull())
+        .groupBy("_uid")
+        .agg(*[F.count(F.when(F.col("_of") == n, 1)).alias(f"_n_{n}") for n in numbers])
+    )
+    copies = functools.reduce(operator.mul, [F.greatest(F.coalesce(f"_n_{n}", F.lit(0)), F.lit(1)) for n in numbers])
+    joined = left_join_spreading_nulls(base, counts, [("uid", "_uid")])
+    return joined.withColumn("_copies", copies.cast("long")).drop("_uid")

@@ -154,6 +154,7 @@ def deposits_in_transit(
         sent,
         received,
         [("event_id", "_event_id"), ("event_type", "_event_type"), ("origination_amount", "_opposite")],
+        null_keys="together",
     )
     arrival = F.col("destination_bank_transaction_date")
     return joined.filter(arrival.isNull() | (arrival > end)).select(

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import datetime
+import functools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tallybook import constants as K
 from tallybook.functions.keys import normalize_key
 from tallybook.operators.asof import snapshot_as_of
 from tallybook.operators.joins import repeat_rows
-from tallybook.operators.matching import key_counts
+from tallybook.operators.matching import with_population_counts
 from tallybook.operators.populations import (
     exclusion_population,
     negative_event_balances,
@@ -101,20 +102,17 @@ def netting_analysis(
     """
     both = negative_event_balances(ledger, month_1.cutoff, month_2.cutoff)
     open_events = both.filter(F.col("balance_1").isNotNull())
-    for population in month_populations(
-        snapshot, transfers, month_1.period, excluded_companies, excluded_investigations
-    ):
-        open_events = open_events.join(population.distinct(), "uid", "left_anti")
-    explained = month_populations(snapshot, transfers, month_2.period, excluded_companies, excluded_investigations)
-    result, copies = open_events, F.lit(1).cast("long")
-    for number, population in enumerate(explained, 1):
-        joined, held = f"_uid_{number}", f"_n_{number}"
-        result = result.join(key_counts(population).toDF(joined, held), F.col("uid") == F.col(joined), "left")
-        copies = copies * F.coalesce(F.col(held), F.lit(1))
+    explained = [
+        month_populations(snapshot, transfers, month.period, excluded_companies, excluded_investigations)
+        for month in (month_1, month_2)
+    ]
+    any_of_month_1 = functools.reduce(DataFrame.unionByName, [p.select("uid") for p in explained[0]]).distinct()
+    open_events = open_events.join(any_of_month_1, "uid", "left_anti")
+    result = with_population_counts(open_events, explained[1])
     cases = [
-        (F.col("_n_1").isNotNull(), RECOVERY),
-        (F.col("_n_2").isNotNull(), BAD_DEBT),
-        (F.col("_n_3").isNotNull(), EXCLUSION),
+        (F.col("_n_1") > 0, RECOVERY),
+        (F.col("_n_2") > 0, BAD_DEBT),
+        (F.col("_n_3") > 0, EXCLUSION),
         (F.col("balance_2") == F.col("balance_1"), UNCHANGED),
         (F.col("balance_2") != F.col("balance_1"), CHANGED),
     ]
@@ -130,6 +128,6 @@ def netting_analysis(
         F.lit(len(MONTH_1_LABELS) + 1).alias("match_priority"),
         label.otherwise(PAID_OFF).alias("second_match"),
         rank.otherwise(len(cases) + 1).alias("second_match_priority"),
-        copies.alias("_copies"),
+        "_copies",
     )
     return repeat_rows(placed, "_copies")

