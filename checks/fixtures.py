@@ -109,9 +109,11 @@ SELECT payment_record_id, event_id, transaction_category,
   CASE payment_direction WHEN 0 THEN amount WHEN 1 THEN -amount ELSE CAST(0 AS DECIMAL(18,2)) END
     AS payment_record_entry_signed_amount
 FROM {payment_record_entries}"""
+    # One event holds a twentieth of all rows, with many owners on each of its days, the last ones of the months.
     q["accounting_balance_history"] = f"""
 SELECT l_suppkey AS pr_on_behalf_of_id, 'Company ' || CAST(l_suppkey AS STRING) AS on_behalf_of_name,
-  {event} AS event_id, {category} AS transaction_category, {ship} AS bank_transaction_date,
+  CASE WHEN l_partkey % 20 = 3 THEN 3 ELSE {event} END AS event_id, {category} AS transaction_category,
+  CASE WHEN l_partkey % 20 = 3 THEN last_day({ship}) ELSE {ship} END AS bank_transaction_date,
   {_pick("l_partkey", ["'open'", "'recovered'", "'in_progress'", None])} AS investigation_status,
   CASE WHEN l_partkey % 4 = 3 THEN NULL ELSE CAST({ship} + 5 AS {ts}) END AS investigation_created_at,
   CASE l_returnflag WHEN 'R' THEN -{money.format(x="l_extendedprice")} WHEN 'A' THEN {money.format(x="l_extendedprice")}
@@ -287,7 +289,7 @@ GROUP BY event_id, transaction_category"""
         for n, (end, snap) in enumerate(PERIODS)
     )
     # Small balances stay out of the snapshot; they become the unexplained events.
-    q["recovery_receivable_snapshot"] = f"""
+    q["recovery_receivable_cases"] = f"""
 SELECT snapshot_date, bank_transaction_date, CAST(event_id AS STRING) || '-' || transaction_category AS id_category_concat,
   event_id, CASE WHEN event_id % 53 = 0 THEN NULL ELSE owner END AS company_id,
   {event_type.format(k="event_id")} AS event_type, transaction_category,
@@ -308,10 +310,19 @@ FROM (
   FROM ({dated}) AS dated
 ) AS cases
 WHERE balance < -20000"""
+    # Some keys have a second case, of which some are closed.
+    q["recovery_receivable_snapshot"] = """
+SELECT * FROM {recovery_receivable_cases} UNION ALL
+SELECT snapshot_date, bank_transaction_date, id_category_concat, event_id, company_id, event_type, transaction_category,
+  pi_id + 1000000000 AS pi_id, CASE WHEN event_id % 2 = 0 THEN 'recovered' ELSE pi_status END AS pi_status, pi_category, pi_age_in_days,
+  accounting_to_reserve, accounting_status_mapping, accounting_pi_category, balance, current_balance
+FROM {recovery_receivable_cases} WHERE event_id % 8 IN (1, 2)"""
+    # One key has up to two flags, one of which may be missing.
     q["recovery_receivable_credit_delinquencies_snapshot"] = """
 SELECT snapshot_date, CASE WHEN event_id % 10 = 0 THEN NULL ELSE id_category_concat END AS id_event_concat,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 3 = 0 END AS is_credit_loss
-FROM {recovery_receivable_snapshot}"""
+FROM {recovery_receivable_snapshot} UNION ALL
+SELECT snapshot_date, id_category_concat, event_id % 3 <> 0 FROM {recovery_receivable_snapshot} WHERE event_id % 4 IN (0, 1)"""
     q["fct_recovery_receivable_credit_delinquency"] = """
 SELECT DISTINCT id_event_concat AS event_id_debit_event_type_concat, is_credit_loss AS credit_loss_flag
 FROM {recovery_receivable_credit_delinquencies_snapshot}"""
