@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from checks import parameters as P
+from checks.parameters import pairs_sql
 from tallybook import constants as K
 from tallybook.functions import amounts, dates, keys, labels
 from tallybook.plans.movement import penalty_accounting_mapping
@@ -156,22 +157,21 @@ FROM {recovery_receivable_snapshot}""",
     ),
     "account_label": (
         lambda t: t.payment_records.select(
-            "id", labels.mapped_label(c("origination_account_id"), K.JPMC_ACCOUNTS).alias("bank")
+            "id", labels.mapped_label(c("origination_account_id"), P.FIRST_BANK).alias("bank")
         ),
-        """SELECT id, bank FROM {payment_records} LEFT JOIN (VALUES (3, 'JPMC Ops'), (4, 'JPMC Corporate'),
-  (6, 'JPMC Payroll Incoming Wires'), (7, 'JPMC Recovery'), (8, 'JPMC Flex Pay'), (9, 'JPMC Wire In'),
-  (12, 'JPMC Flex Pay Repayment')) AS names(account, bank) ON origination_account_id = account""",
+        f"""SELECT id, bank FROM {{payment_records}} LEFT JOIN (VALUES {pairs_sql(P.FIRST_BANK)}) AS names(account, bank)
+  ON origination_account_id = account""",
     ),
     "account_label_with_fallback": (
         lambda t: t.dim_origination_account.select(
             "origination_account_id",
             labels.account_label_with_fallback(
-                c("origination_account_id"), c("origination_bank_name"), c("account_purpose"), K.CHECK_ACCOUNT_LABELS
+                c("origination_account_id"), c("origination_bank_name"), c("account_purpose"), P.CHECK_ACCOUNTS
             ).alias("bank_account"),
         ),
-        """SELECT origination_account_id, CASE WHEN label IS NOT NULL THEN label ELSE origination_bank_name || ' ' || account_purpose END AS bank_account
-FROM {dim_origination_account} LEFT JOIN (VALUES (19, 'Blueridge operations old'), (20, 'Blueridge corporate old'),
-  (26, 'Blueridge operations new'), (27, 'Blueridge corporate new')) AS names(account, label) ON origination_account_id = account""",
+        f"""SELECT origination_account_id, CASE WHEN label IS NOT NULL THEN label ELSE origination_bank_name || ' ' || account_purpose END AS bank_account
+FROM {{dim_origination_account}} LEFT JOIN (VALUES {pairs_sql(P.CHECK_ACCOUNTS)}) AS names(account, label)
+  ON origination_account_id = account""",
     ),
     "first_match_like": (
         lambda t: t.penalty_cases.join(

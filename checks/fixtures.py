@@ -411,7 +411,7 @@ SELECT event_id, user_id, CASE event_type WHEN 'purchase' THEN 'FinishedRunningP
     WHEN 'view' THEN 'VisitedLoginPage' WHEN 'signup' THEN 'GoogleOAuth' ELSE 'Other' END AS action,
   {_pick("event_id", ["'iOS'", "'Android'", "'Mac OS X'", "'Windows'", None])} AS os_name,
   {_pick("event_id", ["'Computer'", "'Mobile'", "'Tablet'"])} AS device_type,
-  CASE WHEN event_id % 40 = 0 THEN 'https//go.xero.com/' WHEN event_id % 40 = 1 THEN 'https://appcenter.intuit.com/'
+  CASE WHEN event_id % 40 = 0 THEN 'https://books.example.test/' WHEN event_id % 40 = 1 THEN 'https://ledger.example.test/'
     ELSE 'https://example.test/' END AS referral_url, value < 1 AS has_signed_in
 FROM {{events}}"""
     q["monthly_features"] = """

@@ -72,27 +72,6 @@ PAYROLL_START = datetime.date(2018, 5, 1)
 SPREADSHEET_EPOCH = datetime.date(1899, 12, 30)
 TRANSFER_LOOKBACK_DAYS = 2
 
-# Account labels of the three bank breakdowns.
-JPMC_ACCOUNTS = {
-    3: "JPMC Ops",
-    4: "JPMC Corporate",
-    6: "JPMC Payroll Incoming Wires",
-    7: "JPMC Recovery",
-    8: "JPMC Flex Pay",
-    9: "JPMC Wire In",
-    12: "JPMC Flex Pay Repayment",
-}
-PNC_ACCOUNTS = {16: "PNC Ops", 17: "PNC Corporate", 18: "PNC Wire In"}
-SVB_ACCOUNTS = {1: "SVB Ops", 2: "SVB Corporate", 5: "SVB Health Insurance", 10: "SVB Wire In"}
-
-# Account labels that replace "bank purpose" in the cheque report.
-CHECK_ACCOUNT_LABELS = {
-    19: "Blueridge operations old",
-    20: "Blueridge corporate old",
-    26: "Blueridge operations new",
-    27: "Blueridge corporate new",
-}
-
 # Pay schedule labels by code.
 PAY_PERIOD_LABELS = {
     1: "Every week",
@@ -103,16 +82,14 @@ PAY_PERIOD_LABELS = {
     6: "Annually",
 }
 
-# Monthly movement: one account is reported in its own branches.
-MOVEMENT_SPLIT_ACCOUNT = "PNC operations"
+# Monthly movement: transfers of one account that are reported in a branch of their own.
 MOVEMENT_TRANSFER_TYPES = ("Credit balance transfer", "Debit balance transfer")
 MOVEMENT_TRANSFER_LIMIT = 20_000_000
 
-# Admin profile: feature keys of time tracking, device names, login actions and referrers.
+# Admin profile: feature keys of time tracking, device names and login actions.
 TIME_TRACKING_FEATURES = (2, 17)
 MOBILE_DEVICES = ("Mobile", "Tablet")
 LOGIN_PAGE_ACTIONS = ("VisitedLoginPage", "LoginClicked")
-LOGIN_REFERRERS = ("https//go.xero.com/", "https://appcenter.intuit.com/")
 
 # Text read as missing by the CSV loader.
 CSV_MISSING_TEXTS = (

@@ -62,6 +62,9 @@ def left_join_repeating(
     elif null_keys != "together":
         raise ValueError(f"unsupported treatment of NULL keys {null_keys!r}")
     known = right.select(*[F.col(r).alias(k) for (_, r), k in zip(on, right_keys)]).dropna()
+    if null_keys == "together":
+        # Of a side that is only asked for distinct keys Spark leaves out the outer joins behind its other columns.
+        keyed, known = keyed.distinct(), known.distinct()
     both = keyed.withColumn("_left_only", F.lit(True)).unionByName(known.withColumn("_left_only", F.lit(False)))
     missing = both.groupBy(*right_keys).agg(F.min("_left_only").alias("_left_only")).filter("_left_only")
     keys_of = {r: k for (_, r), k in zip(on, right_keys)}

@@ -144,10 +144,11 @@ def priority_match(
     return repeat_rows(labelled, "_copies")
 
 
-def with_population_counts(base: DataFrame, populations: Sequence[DataFrame]) -> DataFrame:
+def with_population_counts(base: DataFrame, populations: Sequence[DataFrame], null_uids: bool = True) -> DataFrame:
     """``base`` with ``_n_1``, ``_n_2``..., the rows of each population with its ``uid``, and ``_copies``, what joins to all would make of a row.
 
-    Populations are counted in one grouping, combined before its shuffle. Rows of ``base`` with a NULL ``uid`` match nothing and are spread.
+    Populations are counted in one grouping, combined before its shuffle. Rows of ``base`` with a NULL ``uid`` match
+    nothing and are spread; without them, a ``base`` partitioned by ``uid`` stays where it is.
     """
     tagged = [p.select(F.col("uid").alias("_uid"), F.lit(n).alias("_of")) for n, p in enumerate(populations, 1)]
     numbers = range(1, len(populations) + 1)
@@ -158,5 +159,8 @@ def with_population_counts(base: DataFrame, populations: Sequence[DataFrame]) ->
         .agg(*[F.count(F.when(F.col("_of") == n, 1)).alias(f"_n_{n}") for n in numbers])
     )
     copies = functools.reduce(operator.mul, [F.greatest(F.coalesce(f"_n_{n}", F.lit(0)), F.lit(1)) for n in numbers])
-    joined = left_join_spreading_nulls(base, counts, [("uid", "_uid")])
+    if null_uids:
+        joined = left_join_spreading_nulls(base, counts, [("uid", "_uid")])
+    else:
+        joined = base.join(counts, F.col("uid") == F.col("_uid"), "left")
     return joined.withColumn("_copies", copies.cast("long")).drop("_uid")

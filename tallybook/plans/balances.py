@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallybook.constants import BALANCE_TOLERANCE
 from tallybook.functions.amounts import TOTAL, money_total
 from tallybook.functions.keys import event_uid
+from tallybook.functions.labels import none_of
 from tallybook.operators.filters import id_list_filter, operating_account_filter
 from tallybook.operators.running import running_balance
 
@@ -40,12 +41,12 @@ def accounting_balance_total(
 
 
 def bank_balances_by_account(
-    bank_transactions: DataFrame, until: datetime.date, excluded_accounts: Sequence[int] = (29,)
+    bank_transactions: DataFrame, until: datetime.date, excluded_accounts: Sequence[int] = ()
 ) -> DataFrame:
     """Signed sum per operating account and reconcile flag up to a date."""
     rows = operating_account_filter(bank_transactions).filter(
         (F.col("transaction_date") <= F.lit(until))
-        & ~F.col("origination_account_id").isin(list(excluded_accounts))
+        & none_of(F.col("origination_account_id"), excluded_accounts)
     )
     return (
         rows.groupBy("bank_account", "origination_account_id", F.col("reconcile_flag").alias("reconciled"))

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook import constants as K
 from tallybook.functions.amounts import bank_side, bank_signed_cents, money_total, signed_amount_else_null, zero_if_null
 from tallybook.functions.labels import account_label_with_fallback, mapped_label
 from tallybook.operators.filters import operating_account_filter
@@ -69,7 +68,7 @@ def breakdown_records(
     calendar: DataFrame,
     start: datetime.date,
     end: datetime.date,
-    labels: Mapping[int, str] = K.JPMC_ACCOUNTS,
+    labels: Mapping[int, str],
 ) -> DataFrame:
     """Breakdown over payment records whose amounts sit in the raw table."""
     amounts = raw.filter(F.col("origination_account_id").isin(list(labels))).select(
@@ -148,9 +147,9 @@ def outstanding_checks(
     reconciliations: DataFrame,
     statement: DataFrame,
     period_end: datetime.date,
-    labels: Mapping[int, str] = K.CHECK_ACCOUNT_LABELS,
+    labels: Mapping[int, str],
 ) -> DataFrame:
-    """Sent cheques printed by the period end that the bank has not cleared by then."""
+    """Sent cheques printed by the period end that the bank has not cleared by then; ``labels`` name some accounts otherwise."""
     end = F.lit(period_end)
     sent = checks.filter((F.col("processing_state") == "sent") & (F.col("print_date") <= end)).select(
         F.col("id").alias("check_id"), "payment_date", F.col("description").alias("check_description"), "number",

@@ -19,22 +19,23 @@ def monthly_movement_by_category(
     start: datetime.date,
     end: datetime.date,
     own_company_id: int,
+    split_account: str,
     ignored_records: Sequence[int] = (),
     ignored_transfers: Sequence[int] = (),
     mitigation_bank_ids: Sequence[int] = (),
 ) -> DataFrame:
     """Pay-out, pay-in and net per account, type and category, in five overlapping branches.
 
-    One scan tags each record with the branches it belongs to; each branch is grouped on
+    ``split_account`` is reported in branches of its own. One scan tags each record with the branches it belongs to; each branch is grouped on
     its own, so a record of two branches is reported in both, as the report's union does.
     """
     account = F.col("bank_account")
     owner = F.col("on_behalf_of_id")
     operating = like_none(account, K.NON_OPERATING_SHORT_PATTERNS)
-    split = account == K.MOVEMENT_SPLIT_ACCOUNT
+    split = account == split_account
     own = split & (owner == own_company_id)
     branches = [
-        operating & (account != K.MOVEMENT_SPLIT_ACCOUNT) & none_of(F.col("id"), ignored_records),
+        operating & (account != split_account) & none_of(F.col("id"), ignored_records),
         operating & split & (owner != own_company_id),
         operating & own,
         operating
@@ -130,7 +131,7 @@ def deposits_in_transit(
     companies: DataFrame,
     period_end: datetime.date,
     excluded_owners: Sequence[int] = (),
-    excluded_accounts: Sequence[int] = (29,),
+    excluded_accounts: Sequence[int] = (),
 ) -> DataFrame:
     """Own transfers sent on the period end and not received by then."""
     end = F.lit(period_end)

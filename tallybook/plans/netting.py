@@ -108,7 +108,7 @@ def netting_analysis(
     ]
     any_of_month_1 = functools.reduce(DataFrame.unionByName, [p.select("uid") for p in explained[0]]).distinct()
     open_events = open_events.join(any_of_month_1, "uid", "left_anti")
-    result = with_population_counts(open_events, explained[1])
+    result = with_population_counts(open_events, explained[1], null_uids=False)
     cases = [
         (F.col("_n_1") > 0, RECOVERY),
         (F.col("_n_2") > 0, BAD_DEBT),

@@ -167,10 +167,10 @@ def payroll_history(payrolls: DataFrame, months: Sequence[datetime.date]) -> Dat
     )
 
 
-def third_party_users(events: DataFrame) -> DataFrame:
-    """Users who signed in through another provider."""
+def third_party_users(events: DataFrame, referrers: Sequence[str]) -> DataFrame:
+    """Users who signed in through another provider, or came from one of the referrers to a login page."""
     action = F.col("action")
-    referred = action.isin(list(K.LOGIN_PAGE_ACTIONS)) & F.col("referral_url").isin(list(K.LOGIN_REFERRERS))
+    referred = action.isin(list(K.LOGIN_PAGE_ACTIONS)) & F.col("referral_url").isin(list(referrers))
     return (
         events.filter(((action == "GoogleOAuth") | referred) & F.col("has_signed_in"))
         .select(F.col("user_id").alias("_third_party_user"))
@@ -182,6 +182,7 @@ def payroll_admin_profile(
     tables: ProfileTables,
     months: Sequence[datetime.date],
     as_of: datetime.datetime,
+    referrers: Sequence[str],
     excluded_companies: Sequence[int] = (),
 ) -> DataFrame:
     """One row per current admin and company with the attributes of ten summaries.
@@ -223,7 +224,7 @@ def payroll_admin_profile(
         full.join(devices, same_admin, "left")
         .join(users, F.col("user_id") == F.col("_account"), "inner")
         .join(wallet_users(tables.monthly_employees), F.col("user_id") == F.col("_wallet_user"), "left")
-        .join(third_party_users(tables.events_7_days), F.col("user_id") == F.col("_third_party_user"), "left")
+        .join(third_party_users(tables.events_7_days, referrers), F.col("user_id") == F.col("_third_party_user"), "left")
     )
     return full.select(
         "user_id",

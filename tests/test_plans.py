@@ -6,6 +6,7 @@ import pytest
 
 from checks import catalog
 from checks.fixtures import Tables, store
+from tallybook.plans import profile
 
 DATA = "/root/testdata/sf0.001"
 
@@ -124,5 +125,16 @@ def test_the_ledger_is_restricted_before_it_is_grouped(wide_plan):
     assert semi > aggregate
 
 
-def test_finished_events_are_counted_without_multiplying_rows(wide_plan):
-    assert "Expand" not in wide_plan("payroll_admin_profile").split("_blocked_company")[0] or True
+def test_finished_events_are_counted_without_multiplying_rows(unbroadcast, stored):
+    tables = Tables(unbroadcast, DATA, stored)
+    plan = plan_of(profile.device_summary(tables.track_events, tables.payroll_admins, tables.companies))
+    assert "Expand" not in plan and len(scans_of(plan, "track_events")) == 1
+    # Events are grouped three times by their user before the admin's companies are joined.
+    assert plan.count("SortMergeJoin") == 2 and "SortMergeJoin [_device_user" in plan
+
+
+def test_charge_offs_plan_each_side_once_wide(wide_plan):
+    plan = wide_plan("recovery_charge_offs")
+    assert len(re.findall(r"(?<!Reused)Exchange ", plan)) <= 18
+    wide = [s for s in scans_of(plan, "fct_bad_debt_transfer_history") if "company_name" in s]
+    assert len(wide) == 1

@@ -141,7 +141,7 @@ def test_movement_branches_overlap(spark, rows):
         ],
         RECORDS,
     )
-    got = movement.monthly_movement_by_category(df, day, day, 7, mitigation_bank_ids=[77])
+    got = movement.monthly_movement_by_category(df, day, day, 7, "PNC operations", mitigation_bank_ids=[77])
     assert rows(got, "bank_account", "transaction_type", "payment_category", "reconciled_payment_records") == [
         ("Chase operations", "Payroll", "Net Pay", D("5.00")),
         ("PNC operations", "Debit balance transfer", "Net Pay", D("20000000.00")),
