@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import ship
 
 KNOWN = 200_000
-# Texts handed over at once; a batch of very long texts is cut by Spark's limit on bytes.
-BATCH_ROWS = 256
+# Texts whose new words share a trie; a batch of very long texts is cut by Spark's limit on bytes.
+BATCH_ROWS = 1024
 
 
 class Vocabulary:
