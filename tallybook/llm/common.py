@@ -39,13 +39,21 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_tag``, the row's place in its scan.
+def tagged(docs: DataFrame, name: str = "_tag") -> DataFrame:
+    """``docs``, a scan of Parquet files, with ``name``: the file a row is in and its number there.
 
-    It tells repeated rows apart. ``docs`` must be a scan of files, so that every read
-    gives the same place; store anything else first.
+    It tells repeated rows apart and belongs to the stored row, so every read gives the same, whatever cores are at hand
+    and however Spark packs files into tasks. Store anything but a scan first.
     """
-    return docs.withColumn("_tag", F.monotonically_increasing_id())
+    file = F.lpad(F.hex(F.xxhash64("_metadata.file_path")), 16, "0")
+    return docs.withColumn(name, F.concat(file, F.lpad(F.hex("_metadata.row_index"), 12, "0")))
+
+
+def unused_name(docs: DataFrame, name: str) -> str:
+    """``name``, prolonged until no column of ``docs`` is called so."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 # Rows that Python tasks get at a time: some MB of text.

@@ -16,7 +16,7 @@ Texts are equal if they are identical once every character of ``[\\x20\\x09-\\x0
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import SPACES, Scratch, tagged, text_or_empty
+from tallybook.llm.common import SPACES, Scratch, tagged, text_or_empty, unused_name
 
 # Bits of the largest directory: 65,536 slots, which also bounds its broadcast (about 2 MB).
 DEPTH = 16
@@ -102,12 +102,10 @@ def _decided(docs: DataFrame, capacity: int) -> DataFrame:
     slots = scratch.keep(directory(entries, capacity), "directory")
     links = _links(docs, slots, scratch)
     # Of equal texts: most code points, then smallest doc_id (null last), then first in the scan.
-    order = F.max(
-        F.struct("points", F.col("doc_id").isNotNull(), -F.coalesce("doc_id", F.lit(0)), -F.col("_tag"), "doc_id")
-    )
+    order = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "_tag"))
     groups = entries.groupBy("h", "text_sha256").agg(order.alias("best"), F.count("*").alias("group_size"))
     groups = groups.join(links, ["h", "text_sha256"]).select(
-        "h", "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col4")).alias("keep_tag")
+        "h", "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best._tag").alias("keep_tag")
     )
     return entries.join(groups, ["h", "text_sha256"]).select(
         "_tag", "doc_id", "keep_id", "group_size", (F.col("_tag") == F.col("keep_tag")).alias("kept"), "text_sha256"
@@ -125,7 +123,9 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def without_exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of ``docs``, a scan of files, that stay; all its columns."""
-    rows = tagged(docs)
-    dropped = _decided(rows.select("_tag", "doc_id", "text"), capacity).filter("NOT kept").select("_tag")
-    return rows.join(dropped, "_tag", "left_anti").drop("_tag")
+    """The rows of ``docs``, a scan of files, that stay; all its columns, whatever their names."""
+    tag = unused_name(docs, "_tag")
+    rows = tagged(docs, tag)
+    decided = _decided(rows.select(F.col(tag).alias("_tag"), "doc_id", "text"), capacity)
+    dropped = decided.filter("NOT kept").select(F.col("_tag").alias(tag))
+    return rows.join(dropped, tag, "left_anti").drop(tag)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import Scratch, ship, tagged, text_or_empty
+from tallybook.llm.common import Scratch, ship, tagged, text_or_empty, unused_name
 
 WORDS = 5
 COUNT_BITS = 22
@@ -417,7 +417,7 @@ def _full_sets(docs: DataFrame, wanted, rank) -> DataFrame:
                 yield pd.DataFrame({"_tag": part["_tag"].array, "tokens": sets})
 
     rows = docs.select("_tag", F.xxhash64("_tag").alias("hash"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInPandas(run, "_tag long, tokens binary")
+    return rows.mapInPandas(run, "_tag string, tokens binary")
 
 
 def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFrame:
@@ -505,9 +505,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = down.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = scratch.keep(small.filter("u <> v").distinct(), "edges")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-        if state == before:
+        # Equal sums may be chance; only the pairs themselves tell.
+        if state == before and edges.exceptAll(earlier).isEmpty():
             break
-        before = state
+        before, earlier = state, edges
     top = edges.select(F.col("v").alias("x"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("x"), F.col("v").alias("root")).union(top)
 
@@ -544,9 +545,10 @@ def one_of_each_component(docs: DataFrame) -> DataFrame:
 
     The row with the component's smallest doc_id stays; of several with it, or where all ids are null, the first of the scan.
     """
-    rows = tagged(docs)
-    found = _linked(rows.select("_tag", "doc_id", "text")).filter("n > 0")
+    tag = unused_name(docs, "_tag")
+    rows = tagged(docs, tag)
+    found = _linked(rows.select(F.col(tag).alias("_tag"), "doc_id", "text")).filter("n > 0")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_tag")))
     keep = found.groupBy("component_tag").agg(best.alias("b")).select(F.col("b._tag").alias("_tag"))
-    dropped = found.select("_tag").join(keep, "_tag", "left_anti")
-    return rows.join(dropped, "_tag", "left_anti").drop("_tag")
+    dropped = found.select("_tag").join(keep, "_tag", "left_anti").select(F.col("_tag").alias(tag))
+    return rows.join(dropped, tag, "left_anti").drop(tag)

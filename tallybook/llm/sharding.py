@@ -207,7 +207,7 @@ def rewrite_affected(spark, root: str, shards: int, old_shards: int, version: in
     """
     old = spark.read.parquet(root)
     latest = old.groupBy("shard").agg(F.max("v").alias("v"))
-    docs = tagged(old.join(F.broadcast(latest), ["shard", "v"]).withColumnRenamed("shard", "_old").drop("v"))
+    docs = tagged(old).join(F.broadcast(latest), ["shard", "v"]).withColumnRenamed("shard", "_old").drop("v")
     docs = Scratch(spark).keep(docs, "rows")
     rows, blocks = plan_blocks(docs, shards, old_shards)
     moved = blocks.filter("from_shard <> shard")
