@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,9 +11,12 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions
+from pyspark.sql.functions import col as c
 from tokenizers import Tokenizer
 
 from tallybook.llm import bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding
+from tallybook.llm.common import tagged
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -440,3 +444,100 @@ def test_words_without_a_letter_have_no_language():
     found = language._labelled(model, pd.Series(["²³ ½", "12 34", None, "", "the cat", "² Katze"]))
     assert found["lang_pred"].tolist() == ["und"] * 4 + ["en", "de"]
     assert (found["score"][:4] == 0).all() and (found["score"][4:] > 0).all()
+
+
+def test_tags_belong_to_the_stored_rows(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(20_000).withColumn("text", c("id").cast("string")).repartition(5).write.parquet(path)
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.leafNodeDefaultParallelism")}
+    found = []
+    for size, cores in (("4k", "8"), ("128m", "2")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", cores)
+        rows = tagged(spark.read.parquet(path).select("id", "text"))
+        found.append((rows.rdd.getNumPartitions(), {(r.id, r._tag) for r in rows.select("id", "_tag").collect()}))
+    for key, value in old.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert found[0][0] != found[1][0] and found[0][1] == found[1][1]
+    assert len({tag for _, tag in found[0][1]}) == 20_000
+
+
+@pytest.mark.parametrize("keep", [exact_dedup.without_exact_duplicates, jaccard.one_of_each_component])
+def test_a_column_called_tag_stays(table, keep):
+    rows = table([(1, "one two three", 7), (2, "one two three", 8), (3, None, 9)], "doc_id long, text string, _tag long")
+    left = keep(rows)
+    assert left.columns == ["doc_id", "text", "_tag"] and sorted(r._tag for r in left.collect()) == [7, 9]
+
+
+def page_of_divs(rnd, n: int) -> tuple[str, str]:
+    """A page without telling elements and names, and its text: top and end are the host's, the middle is its own."""
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    parts = [" ".join(words[i : i + 15]) for i in range(0, 60, 15)][: 1 + n % 4]
+    top = "".join(f"<div><a href='/{x}'>{x}</a></div>" for x in ("home", "news", "shop"))
+    end = "<div><div>All rights reserved</div><div>Imprint</div></div>"
+    middle = "".join(f"<{e}>{p}</{e}>" for e, p in zip(("p", "blockquote", "p", "pre"), parts))
+    return f"<html><body><div>{top}</div><div><div>{middle}</div></div>{end}</body></html>", "\n".join(parts)
+
+
+def test_the_tree_alone_finds_the_text(table):
+    rnd = random.Random(4)
+    made = [page_of_divs(rnd, n) for n in range(30)]
+    rows = [(n, "https://plain.example/%d" % n, html) for n, (html, _) in enumerate(made)]
+    found = pages.main_texts(table(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {n: text for n, (_, text) in enumerate(made)}
+
+
+def test_two_pages_of_a_host_have_a_tree(table):
+    html = "<body><div><div>Home</div><div>Shop</div></div><div><p>%s</p></div></body>"
+    rows = [(1, "https://two.example/1", html % "first text"), (2, "https://two.example/2", html % "second text")]
+    found = pages.main_texts(table(rows + [(3, "https://one.example/", html % "third")], "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {1: "first text", 2: "second text", 3: "Home\nShop\nthird"}
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ('<article class="post ad-free"><p>a</p></article>', "a"),
+        ('<article><h2 id="comments-on-method">b</h2><p>c</p></article>', "b\nc"),
+        ('<article><section class="related"><p>d</p></section></article>', "d"),
+        ('<article><p class="social policy">e</p></article>', "e"),
+        ("<article><p>f <math>x + 1</math> <object>g</object></p></article>", "f x + 1 g"),
+        ('<article><p>h</p><div class="ad">i</div><div class="site-footer">j</div><div id="comments">k</div></article>', "h"),
+        ('<div class="top-menu">l</div><article><p>m</p><div class="reader-comments">n</div></article><div role="banner">o</div>', "m"),
+    ],
+)
+def test_names_say_what_is_no_content(table, html, text):
+    rows = [(1, "https://one.example/1", f"<html><body>{html}</body></html>")]
+    assert pages.main_texts(table(rows, "page_id long, url string, html string")).first().text == text
+
+
+def test_importance_equals_a_plain_count(spark, table):
+    """Presentation and content importance of every node of a host, counted page by page."""
+    rnd = random.Random(8)
+    sources = [page_of_divs(rnd, n)[0] for n in range(12)]
+    parsed = [pages.Page(s) for s in sources]
+    styles, texts, on = (collections.defaultdict(collections.Counter) for _ in range(3))
+    for i, page in enumerate(parsed):
+        for (key, *_), seen in zip(page.nodes, page.children):
+            on[key][i] += 1
+            styles[key].update(seen)
+        for node, text in page.blocks:
+            texts[page.nodes[node][0], text][i] += 1
+
+    def entropy(counts, base):
+        total = sum(counts)
+        return -sum(n / total * math.log(n / total) for n in counts) / math.log(base)
+
+    rows = [(1 + i, "https://h.example/", s) for i, s in enumerate(sources)]
+    frame = tagged(table(rows, "page_id long, url string, html string"))
+    parse = functions.pandas_udf(pages._parse, pages._PARSED)
+    numbers = frame.select("_tag", functions.lit("h").alias("host"), parse("html").alias("p")).select("_tag", "host", "p.*")
+    found = {r.key: r for r in pages._importance(numbers).collect()}
+    assert set(found) == set(on)
+    for key, r in found.items():
+        m = len(on[key])
+        assert r.pages == m and r.styles == len(styles[key])
+        if m > 1:
+            assert r.presentation == pytest.approx(min(1.0, entropy(styles[key].values(), m)))
+            spread = [entropy(x.values(), m) for (k, _), x in texts.items() if k == key]
+            assert r.content is None if not spread else r.content == pytest.approx(1 - sum(spread) / len(spread))
