@@ -404,7 +404,7 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, wanted, rank) -> DataFrame:
-    """(_tag, tokens) of the documents whose bit is set."""
+    """(x, tokens) of the documents whose bit is set; a few others may be among them, and meet nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, ranks = wanted.value, rank.value
@@ -413,11 +413,11 @@ def _full_sets(docs: DataFrame, wanted, rank) -> DataFrame:
             batch = batch[((bits[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool)]
             for lo in range(0, len(batch), BATCH_DOCS):
                 part = batch.iloc[lo : lo + BATCH_DOCS]
-                sets = [ordered(s, ranks).tobytes() for s in shingle_sets(part["text"].tolist())]
-                yield pd.DataFrame({"_tag": part["_tag"].array, "tokens": sets})
+                sets = [ordered(s, ranks) for s in shingle_sets(part["text"].tolist())]
+                yield pd.DataFrame({"x": [set_key(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
 
-    rows = docs.select("_tag", F.xxhash64("_tag").alias("hash"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInPandas(run, "_tag string, tokens binary")
+    rows = docs.select(F.xxhash64("_tag").alias("hash"), text_or_empty().cast("binary").alias("text"))
+    return rows.mapInPandas(run, "x long, tokens binary")
 
 
 def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFrame:
@@ -450,9 +450,8 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
     of = sets.filter("n > 0").groupBy("x").agg(F.min("_tag").alias("_tag"))
     wanted = scratch.keep(of.join(member.select("x").distinct(), "x", "left_semi"), "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted.select(F.xxhash64("_tag").alias("hash"))))
-    full = scratch.keep(
-        _full_sets(docs, bits, rank).join(wanted, "_tag").select("x", "tokens"), "full-sets"
-    )
+    # Computed from the texts as they are sent, and not stored.
+    full = _full_sets(docs, bits, rank)
     size = member.groupBy("leader").agg(F.sum("n").alias("held"))
     # A chunk has room for its leader beside its own; every member has one chunk.
     chunks = size.select("leader", F.ceil(F.col("held") / F.lit(CHUNK)).alias("chunks"))
