@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallybook.operators import asof, entries, filters, joins, matching, populations
-from tallybook.operators.running import running_balance
+from tallybook.operators.running import in_ranges, running_balance
 
 c = F.col
 DAY = datetime.date
@@ -206,8 +206,8 @@ def test_priority_match_fans_out_on_duplicate_keys(spark, rows):
     assert rows(got) == [("a", 1, "one", 1)] * 2 + [("b", 2, "two", 2)] * 3 + [("d", 3, "none", 3)]
 
 
-@pytest.mark.parametrize("slice_rows", [100_000, 7, 1])
-def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows, slice_rows):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 60])
+def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows, ranges):
     data = spark.range(3000).select(
         F.when(c("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (c("id") % 50).cast("string"))).alias("uid"),
         F.when(c("id") % 97 == 0, F.lit(None)).otherwise(c("id") % 700).alias("pr_on_behalf_of_id"),
@@ -218,7 +218,7 @@ def test_running_balance_of_a_hot_key_equals_one_long_window(spark, rows, slice_
     order = Window.partitionBy("uid").orderBy("bank_transaction_date", "pr_on_behalf_of_id")
     want = daily.withColumn("running_balance", F.sum("balance").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     columns = ["uid", "bank_transaction_date", "pr_on_behalf_of_id", "running_balance"]
-    assert rows(running_balance(daily, slice_rows).withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns) == rows(
+    assert rows(running_balance(daily, ranges).withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns) == rows(
         want.withColumn("running_balance", c("running_balance").cast("decimal(38,2)")), *columns
     )
 
@@ -228,10 +228,21 @@ def test_running_balance_takes_equal_dates_by_owner(spark):
         [("e", 1, DAY(2024, 1, 1), 100), ("e", 64, DAY(2024, 1, 1), -50)],
         "uid string, pr_on_behalf_of_id long, bank_transaction_date date, balance long",
     ).withColumn("balance", c("balance").cast("decimal(18,2)"))
-    got = running_balance(daily, 1).orderBy("pr_on_behalf_of_id").collect()
+    got = running_balance(daily, 2).orderBy("pr_on_behalf_of_id").collect()
     assert [int(r.running_balance) for r in got] == [100, 50]
 
 
+def test_bunched_owners_of_one_day_fill_many_ranges(spark):
+    """Nearly all ids lie close together: ranges of equal width would put them into one."""
+    daily = spark.range(4000).select(
+        F.lit("hot").alias("uid"), F.when(c("id") < 10, c("id") * 10**12).otherwise(c("id") + 10**6).alias("pr_on_behalf_of_id"),
+        F.lit(DAY(2024, 1, 1)).alias("bank_transaction_date"), F.lit(1).cast("decimal(18,2)").alias("balance"),
+    )
+    sizes = [r["count"] for r in in_ranges(daily, 8).groupBy("part").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < 1200
+    assert running_balance(daily, 8).agg(F.max("running_balance"), F.countDistinct("running_balance")).first() == (4000, 4000)
+
+
 def test_credit_loss_lookup_fans_out_on_different_flags_only(spark, rows):
     rr = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
     credit = spark.createDataFrame([("a", True), ("a", True), ("a", None), ("x", False)], "ck string, is_credit_loss boolean")
