@@ -263,10 +263,13 @@ LEAST_SCORE = 0.4
 
 
 def in_a_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a known language; all its columns."""
+    """The rows of ``docs`` whose text is in a known language; all its columns.
+
+    Where no row has a language to learn from, nothing can be told of any text, and all rows stay.
+    """
     model = train(sample_of(docs))
     if model is None:
-        return docs.filter(F.lit(False))
+        return docs
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -541,3 +541,7 @@ def test_importance_equals_a_plain_count(spark, table):
             assert r.presentation == pytest.approx(min(1.0, entropy(styles[key].values(), m)))
             spread = [entropy(x.values(), m) for (k, _), x in texts.items() if k == key]
             assert r.content is None if not spread else r.content == pytest.approx(1 - sum(spread) / len(spread))
+
+
+def test_without_languages_to_learn_from_all_rows_stay(documents):
+    assert language.in_a_language(documents([(1, "some words", None), (2, None, None)])).count() == 2
