@@ -39,7 +39,8 @@ STAGES = [
     ("BPE encoding and decoding", bpe_stage),
 ]
 
-# Language identification cannot be said in SQL; tests/llm holds run() against a brute-force version.
+# Language identification cannot be said in SQL. tests/llm holds dedup, near dedup and encoding against brute force,
+# language and mixing against what they promise.
 ORACLE_SQL = None
 
 
