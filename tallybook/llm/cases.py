@@ -33,8 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks as text: start-end pairs joined by commas."""
-    conversations = table(spark, sf_dir, "conversations")
-    found = chat.formatted(conversations, chat.neighbouring_pairs(conversations))
+    found = chat.swapped_answers(table(spark, sf_dir, "conversations"))
 
     def listed(masks):
         pair = F.transform(masks, lambda m: F.concat_ws("-", m["start"], m["end"]))
@@ -122,28 +121,27 @@ ORACLES: dict[str, str] = {
                    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS pos
             FROM conversations WHERE conv_id IS NOT NULL
         ),
+        l AS (SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
         p AS (
-            SELECT DISTINCT a.conv_id AS chosen_id, b.conv_id AS rejected_id
-            FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0
+            SELECT a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.last, a.answer, b.answer AS other
+            FROM l a JOIN l b ON b.conv_id = a.conv_id + 1
         ),
-        c AS (
-            SELECT p.*, count(*) AS n_common
-            FROM p JOIN t a ON a.conv_id = chosen_id
-            WHERE NOT EXISTS (
-                SELECT 1 FROM t x LEFT JOIN t y ON y.conv_id = rejected_id AND y.pos = x.pos
-                WHERE x.conv_id = chosen_id AND x.pos <= a.pos
-                  AND (y.pos IS NULL OR x.role <> y.role OR x.text <> y.text)
-            )
-            GROUP BY ALL
+        n AS (
+            SELECT p.*, CASE WHEN answer = other THEN last ELSE last - 1 END::INT AS n_common FROM p
+        ),
+        turns AS (
+            SELECT chosen_id, rejected_id, n_common, true AS is_chosen, pos, role, text FROM n JOIN t ON conv_id = chosen_id
+            UNION ALL
+            SELECT chosen_id, rejected_id, n_common, false, pos, role, CASE WHEN pos < last THEN text ELSE other END
+            FROM n JOIN t ON conv_id = chosen_id WHERE pos <= last
         ),
-        n AS (SELECT p.*, coalesce(n_common, 0)::INT AS n_common FROM p LEFT JOIN c USING (chosen_id, rejected_id)),
         s AS (
-            SELECT n.*, conv_id = chosen_id AS is_chosen, pos, role,
+            SELECT turns.*,
                    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
                    sum(CASE WHEN pos > n_common THEN length(role) + length(text) + 13 ELSE 0 END)
-                       OVER (PARTITION BY chosen_id, conv_id ORDER BY pos) AS stop,
+                       OVER (PARTITION BY chosen_id, is_chosen ORDER BY pos) AS stop,
                    length(text) + 8 AS own
-            FROM n JOIN t ON conv_id IN (chosen_id, rejected_id)
+            FROM turns
         )
         SELECT chosen_id, rejected_id, n_common,
                coalesce(string_agg(piece, '' ORDER BY pos) FILTER (is_chosen AND pos <= n_common), '') AS prompt,

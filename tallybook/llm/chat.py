@@ -62,6 +62,11 @@ def formatted(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
         .join(_turns(conversations, "chosen"), "chosen_id")
         .join(_turns(conversations, "rejected"), "rejected_id")
     )
+    return _compared(both)
+
+
+def _compared(both: DataFrame) -> DataFrame:
+    """chosen_id, rejected_id and the rendered parts, of pairs of turn lists ``chosen`` and ``rejected``."""
     same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce(a == b, F.lit(False)))
     first = F.array_position(same, False)
     common = F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
@@ -79,6 +84,25 @@ def formatted(conversations: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def swapped_answers(conversations: DataFrame) -> DataFrame:
+    """Preferences made from plain conversations, formatted as by :func:`formatted`.
+
+    Chosen is a conversation as it is; rejected are its turns before its last answer, then the last answer of the
+    conversation with the next conv_id, which is ``rejected_id``. Conversations without an answer, or whose next one has
+    none or is missing, give no pair. Equal answers give a pair with an empty rejected completion.
+    """
+    turns = _turns(conversations, "chosen")
+    answered = F.transform("chosen", lambda x: x["role"] == TRAINED)
+    before = F.size("chosen") - F.array_position(F.reverse(answered), True)
+    led = turns.filter(F.exists("chosen", lambda x: x["role"] == TRAINED)).withColumn("before", before.cast("int"))
+    answers = led.select(
+        F.col("chosen_id").alias("rejected_id"), F.get("chosen", F.col("before")).alias("answer")
+    )
+    both = led.join(answers, F.col("rejected_id") == F.col("chosen_id") + 1)
+    rejected = F.concat(F.slice("chosen", F.lit(1), F.col("before")), F.array("answer"))
+    return _compared(both.select("chosen_id", "rejected_id", "chosen", rejected.alias("rejected")))
+
+
 def neighbouring_pairs(conversations: DataFrame) -> DataFrame:
     """chosen_id 2i with rejected_id 2i + 1, for a table that lists the two answers one after the other."""
     even = conversations.filter(F.col("conv_id") % 2 == 0).select(F.col("conv_id").alias("chosen_id")).distinct()

@@ -545,3 +545,22 @@ def test_importance_equals_a_plain_count(spark, table):
 
 def test_without_languages_to_learn_from_all_rows_stay(documents):
     assert language.in_a_language(documents([(1, "some words", None), (2, None, None)])).count() == 2
+
+
+def test_swapped_answers_share_their_prompt(table):
+    turns = [
+        (1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "q2"), (1, 3, "assistant", "a2"), (1, 4, "user", None),
+        (2, 0, "user", "q3"), (2, 1, "assistant", "a3"), (3, 0, "user", "q4"), (3, 1, "assistant", "a3"),
+        (4, 0, "user", "alone"), (6, 0, "assistant", "x" * 100_000), (None, 0, "assistant", "lost"), (7, None, None, None),
+    ]
+    conversations = table([(*t, "clash") for t in turns], "conv_id long, turn int, role string, text string, chosen string")
+    rows = {r.chosen_id: r for r in chat.swapped_answers(conversations).collect()}
+    assert set(rows) == {1, 2}
+    first = rows[1]
+    assert (first.rejected_id, first.n_common) == (2, 3)
+    assert first.prompt == "<|user|>\nq1<|end|>\n<|assistant|>\na1<|end|>\n<|user|>\nq2<|end|>\n"
+    assert first.chosen == "<|assistant|>\na2<|end|>\n<|user|>\n<|end|>\n" and first.rejected == "<|assistant|>\na3<|end|>\n"
+    assert [tuple(m) for m in first.chosen_masks] == [(14, 24)] == [tuple(m) for m in first.rejected_masks]
+    # Equal answers: nothing is left to tell apart.
+    assert (rows[2].n_common, rows[2].rejected) == (2, "")
+    assert chat.swapped_answers(conversations.limit(0)).count() == 0
