@@ -2,18 +2,19 @@
 
 Texts are equal if they are identical once every character of ``[\\x20\\x09-\\x0D]`` is deleted.
 
-1. Every row becomes an index entry (64-bit hash, SHA-256, length, doc_id), written once to the shared folder.
+1. Every row becomes an index entry (64-bit hash, SHA-256, doc_id), written once to the shared folder.
 2. The directory has one slot for each value of the top ``DEPTH`` hash bits. A bucket with more than ``capacity``
    entries is overfull: the directory doubles and the bucket splits on the next bit, until it fits, holds one
    single hash, or no bit is left. All doublings are found in one pass over the slot counts.
    What still is too large (copies of one text) chains further pages, so that no task gets more than about
    ``capacity`` rows.
 3. Each page has an owner task. It gets the texts of its hash range and compares their bytes: texts of one hash
-   that differ become different links of the chain. Pages of one bucket are then merged, again by bytes.
-4. Entries meet their link by (hash, SHA-256); a link gives its members the row that stays.
+   that differ become different links of the chain, and a link counts its rows and knows the one that stays. Pages
+   of one bucket are then merged, again by bytes.
+4. Entries meet their link by (hash, SHA-256), and take group size and the row that stays from it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import SPACES, Scratch, tagged, text_or_empty, unused_name
@@ -27,11 +28,14 @@ def normalised(column: str = "text"):
     return F.regexp_replace(text_or_empty(column), f"[{SPACES}]+", "")
 
 
+def hashed(norm: str) -> Column:
+    """The hash whose top bits the directory is over. Any will do: texts that share it are told apart by their bytes."""
+    return F.xxhash64(norm)
+
+
 def _entries(docs: DataFrame) -> DataFrame:
-    norm = docs.select("_tag", "doc_id", F.char_length(text_or_empty()).alias("points"), normalised().alias("norm"))
-    return norm.select(
-        "_tag", "doc_id", "points", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")
-    )
+    norm = docs.select("_tag", normalised().alias("norm"), "doc_id")
+    return norm.select("_tag", "doc_id", hashed("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
 
 
 def _slot(h: str):
@@ -65,15 +69,18 @@ def directory(entries: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def _links(docs: DataFrame, slots: DataFrame, scratch: Scratch) -> DataFrame:
-    """One row for each text that differs in bytes: (h, text_sha256)."""
-    texts = docs.select("_tag", normalised().alias("norm")).withColumn("h", F.xxhash64("norm"))
+    """The links of all chains, one for each text that differs in bytes: h, text_sha256, group_size and the row that stays."""
+    points = F.char_length(text_or_empty())
+    # Of equal texts: most code points, then smallest doc_id (null last), then first in the files.
+    order = F.struct((-points).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "_tag")
+    texts = docs.select("_tag", normalised().alias("norm"), order.alias("row")).withColumn("h", hashed("norm"))
     pages = (
         texts.withColumn("slot", _slot("h"))
         .join(F.broadcast(slots), "slot")
-        .select("bucket", F.pmod(F.xxhash64("_tag"), "pages").alias("page"), "pages", "h", "norm")
+        .select("bucket", F.pmod(F.xxhash64("_tag"), "pages").alias("page"), "pages", "h", "norm", "row")
         .repartition("bucket", "page")
         .groupBy("bucket", "page", "pages", "h", "norm")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").alias("n"), F.min("row").alias("row"))
     )
     found = scratch.keep(
         pages.select(
@@ -81,18 +88,21 @@ def _links(docs: DataFrame, slots: DataFrame, scratch: Scratch) -> DataFrame:
             F.sha2("norm", 256).alias("text_sha256"),
             F.when(F.col("pages") > 1, F.col("norm")).alias("norm"),
             (F.col("pages") > 1).alias("chained"),
+            "n",
+            "row",
         ),
         "links",
     )
-    merged = found.filter("chained").groupBy("h", "norm", "text_sha256").count()
-    every = found.filter("NOT chained").select("h", "text_sha256").union(merged.select("h", "text_sha256"))
+    columns = ["h", "text_sha256", "n", "row"]
+    merged = found.filter("chained").groupBy("h", "norm", "text_sha256").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    every = found.filter("NOT chained").select(*columns).union(merged.select(*columns))
     two = F.concat(F.lit("Two texts share hash and SHA-256 "), "text_sha256")
     return (
         every.groupBy("h", "text_sha256")
-        .agg(F.count("*").alias("texts"))
+        .agg(F.count("*").alias("texts"), F.sum("n").alias("group_size"), F.min("row").alias("row"))
         .withColumn("_ok", F.when(F.col("texts") > 1, F.raise_error(two)).otherwise(F.lit(0)))
         .filter("_ok = 0")
-        .select("h", "text_sha256")
+        .select("h", "text_sha256", "group_size", F.col("row.doc_id").alias("keep_id"), F.col("row._tag").alias("keep_tag"))
     )
 
 
@@ -100,14 +110,7 @@ def _decided(docs: DataFrame, capacity: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     entries = scratch.keep(_entries(docs), "entries")
     slots = scratch.keep(directory(entries, capacity), "directory")
-    links = _links(docs, slots, scratch)
-    # Of equal texts: most code points, then smallest doc_id (null last), then first in the scan.
-    order = F.min(F.struct(-F.col("points"), F.col("doc_id").isNull(), "doc_id", "_tag"))
-    groups = entries.groupBy("h", "text_sha256").agg(order.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.join(links, ["h", "text_sha256"]).select(
-        "h", "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best._tag").alias("keep_tag")
-    )
-    return entries.join(groups, ["h", "text_sha256"]).select(
+    return entries.join(_links(docs, slots, scratch), ["h", "text_sha256"]).select(
         "_tag", "doc_id", "keep_id", "group_size", (F.col("_tag") == F.col("keep_tag")).alias("kept"), "text_sha256"
     )
 

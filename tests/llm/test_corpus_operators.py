@@ -564,3 +564,22 @@ def test_swapped_answers_share_their_prompt(table):
     # Equal answers: nothing is left to tell apart.
     assert (rows[2].n_common, rows[2].rejected) == (2, "")
     assert chat.swapped_answers(conversations.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("capacity", [3, 50_000])
+def test_texts_of_one_hash_are_told_apart_by_their_bytes(documents, monkeypatch, capacity):
+    """A hash of two bits: each chain holds many texts, on one page or on many."""
+    monkeypatch.setattr(exact_dedup, "hashed", lambda norm: functions.pmod(functions.xxhash64(norm), functions.lit(4)) - 2)
+    rows = [(i, f"text {i % 40}" + " " * (i % 3)) for i in range(200)]
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(documents(rows), capacity).collect()}
+    groups = collections.defaultdict(list)
+    for i, text in rows:
+        groups[text.replace(" ", "")].append((-len(text), i))
+    assert found == {i: (min(g)[1], len(g)) for g in groups.values() for _, i in g}
+
+
+def test_groups_come_from_the_index(documents, monkeypatch):
+    """Without its links there are no groups."""
+    links = exact_dedup._links
+    monkeypatch.setattr(exact_dedup, "_links", lambda *a: links(*a).filter("false"))
+    assert exact_dedup.exact_duplicates(documents([(1, "a"), (2, "a")])).count() == 0
