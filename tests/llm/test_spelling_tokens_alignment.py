@@ -122,7 +122,7 @@ def dictionary_of(words):
 
 def test_the_dictionary_is_pruned_by_frequency(spark, monkeypatch):
     words = sorted(counted(some_texts(2)))
-    monkeypatch.setattr(spelling, "FREQUENT", 40)
+    monkeypatch.setattr(spelling, "FREQUENT", 200)
     made = spelling.gram_dictionary(spark.createDataFrame([(w, 9) for w in words], "word string, n long"), Scratch(spark))
     want = dictionary_of(words)
     for k in range(spelling.LEAST, spelling.MOST + 1):
@@ -175,7 +175,7 @@ def test_files_hold_all_ids_in_order(spark, documents, tmp_path):
 
 def test_files_have_the_promised_layout(spark, documents, tmp_path):
     folder = str(tmp_path / "layout")
-    token_files.write_token_files(documents([(i, f"text {i} " * 30) for i in range(4000)]), folder, BYTES, row_group_bytes=1 << 16, page_rows=100)
+    token_files.write_token_files(documents([(i, f"text {i} " * 30) for i in range(4000)]), folder, BYTES, row_group_bytes=1 << 14, page_rows=100)
     groups = indexed = 0
     for file in sorted((tmp_path / "layout").glob("*.parquet")):
         meta = pq.ParquetFile(file).metadata
