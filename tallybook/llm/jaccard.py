@@ -8,15 +8,16 @@ hashes, or its whole sequence if it has fewer words. Two sets link if ``100 * in
    prefixes. The table has one size whatever the input and so may be broadcast.
 2. *Prefixes.* Sets that link share at least k shingles among the first ``n - ceil(0.8 n) + k`` of each; k grows with the
    set, so that one common passage is not enough. Equal sets count once from here on. Owners of hash ranges find the
-   prefix shingles that more than one set has; batches send each of theirs once, so a frequent one stays small. Sets
-   with fewer than k such shingles link with nothing and go, twice over.
+   prefix shingles that more than one set has; batches send each of theirs once, so a frequent one stays small. A batch
+   holds all copies of its sets, so copies alone make no shingle shared. Sets with fewer than k such shingles link with
+   nothing and go.
 3. *Clusters.* The most central set with a shared shingle leads all that have it. Every pair of sets that can link
    is in one leader's cluster; the shingle itself needs no pairs.
 4. *Prefix trees.* A cluster's sets, in the global order, form a trie; a set walks down with its overlap so far, shared by
    all below, and leaves subtrees whose remaining length cannot reach the overlap they need. The leader
    walks first. Sets that it links are one component; only the others walk too. A large cluster is dealt into chunks,
    each with the leader; sets that a leader does not link visit the other chunks as well. So no link between
-   components is lost, and no task holds more than a chunk.
+   components is lost, and no task holds more than a chunk. Texts travel, which take less room than their shingles.
 5. *Components* of the links, by label passing along them.
 """
 
@@ -34,8 +35,9 @@ WORDS = 5
 COUNT_BITS = 22
 # Bits of the filter of documents whose sets are needed again.
 FILTER_BITS = 25
-# Prefix shingles an owner task looks at, shingles of a chunk, shingles of a task that joins chunks.
+# Prefix shingles an owner task looks at, those of a batch, shingles of a chunk, shingles of a task that joins chunks.
 OWNED = 1_000_000
+SENT = 250_000
 CHUNK = 400_000
 TASK = 1_000_000
 # Bytes of text hashed at once.
@@ -196,23 +198,21 @@ def set_key(tokens: np.ndarray) -> int:
 
 
 def _prefixes(docs: DataFrame, rank) -> DataFrame:
-    """For every row: doc_id, its place, the set's size, key and centrality, its prefix, and the batch it is in."""
+    """For every row: doc_id, its place, the set's size, key and centrality, and its prefix, which a task gives once of equal sets."""
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        task, nth, ranks = TaskContext.get().partitionId(), 0, rank.value
+        ranks, given = rank.value, set()
         for texts in columns:
             rows = []
             for at in range(0, len(texts), BATCH_DOCS):
                 for tokens in shingle_sets(texts.iloc[at : at + BATCH_DOCS].tolist()):
                     s = ordered(tokens, ranks)
-                    central = float((s >> _U(56)).mean()) if len(s) else 0.0
-                    rows.append((len(s), set_key(s), central, _pack(s[: _prefix(len(s))]), (task << 32) + nth))
-                nth += 1
-            yield pd.DataFrame(rows, columns=["n", "x", "central", "prefix", "batch"])
+                    x, central = set_key(s), float((s >> _U(56)).mean()) if len(s) else 0.0
+                    rows.append((len(s), x, central, b"" if x in given else _pack(s[: _prefix(len(s))])))
+                    given.add(x)
+            yield pd.DataFrame(rows, columns=["n", "x", "central", "prefix"])
 
-    found = F.pandas_udf(run, "n long, x long, central double, prefix binary, batch long")
+    found = F.pandas_udf(run, "n long, x long, central double, prefix binary")
     return docs.select("doc_id", "_tag", found(text_or_empty().cast("binary")).alias("s")).select("doc_id", "_tag", "s.*")
 
 
@@ -221,27 +221,23 @@ def _pack(tokens: np.ndarray) -> bytes:
     return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _blobs(sets: DataFrame, parts: int) -> DataFrame:
-    """Each batch's distinct prefix shingles for each owner: 5 bytes of each, and which of them two of its sets have."""
+def _blobs(parts: int):
+    """A batch's distinct prefix shingles for each owner: 5 bytes of each, and which of them two of its sets have."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for name, batch in rows.groupby("batch"):
-                own = batch.drop_duplicates("x")
-                tokens = _five(b"".join(own["prefix"]))
-                tokens, count = np.unique(tokens, return_counts=True)
-                part = (tokens % _U(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out = []
-                for p in range(parts):
-                    some = order[cuts[p] : cuts[p + 1]]
-                    if len(some):
-                        out.append((p, name, _pack(tokens[some]), np.packbits(count[some] > 1).tobytes()))
-                yield pd.DataFrame(out, columns=["part", "batch", "tokens", "twice"])
-
-    kept = sets.filter("n > 0").select("batch", "x", "prefix")
-    return kept.mapInPandas(run, "part long, batch long, tokens binary, twice binary")
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        own, name = batch.drop_duplicates("x"), batch["batch"].iloc[0]
+        tokens, count = np.unique(_five(b"".join(own["prefix"])), return_counts=True)
+        part = (tokens % _U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        out = []
+        for p in range(parts):
+            some = order[cuts[p] : cuts[p + 1]]
+            if len(some):
+                out.append((p, name, _pack(tokens[some]), np.packbits(count[some] > 1).tobytes()))
+        return pd.DataFrame(out, columns=["part", "batch", "tokens", "twice"])
+
+    return run
 
 
 def _five(data: bytes) -> np.ndarray:
@@ -264,18 +260,18 @@ def _shared(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _members(batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """(shingle, set) for the shared prefix shingles of a batch."""
+    """(shingle, set) for the shared prefix shingles of a batch, of sets that have enough of them."""
     shared = np.sort(np.concatenate([np.frombuffer(t, "<u8") for t in answers["tokens"]] or [np.zeros(0, "<u8")]))
     out = []
-    for x, n, prefix in batch.drop_duplicates("x")[["x", "n", "prefix"]].itertuples(index=False):
+    for x, n, central, prefix in batch.drop_duplicates("x")[["x", "n", "central", "prefix"]].itertuples(index=False):
         tokens = _five(prefix)
         at = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
         hit = tokens[shared[at] == tokens] if len(shared) else tokens[:0]
         if len(hit) < _least_shared(n):
             continue
-        out.append((hit.view(np.int64), np.full(len(hit), x), np.full(len(hit), n)))
-    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 3
-    return pd.DataFrame(dict(zip(("g", "x", "n"), columns)))
+        out.append((hit.view(np.int64), *(np.full(len(hit), v) for v in (x, n, central))))
+    columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 4
+    return pd.DataFrame(dict(zip(("g", "x", "n", "central"), columns)))
 
 
 class PrefixTree:
@@ -355,18 +351,19 @@ class _Joined:
         return x != y
 
 
-def _join_chunks(rows: pd.DataFrame) -> pd.DataFrame:
+def _join_chunks(rows: pd.DataFrame, ranks: np.ndarray) -> pd.DataFrame:
     """Links that hold a chunk's components together, and the sets its leader does not reach.
 
-    Rows: leader, chunk, x, tokens, visits. A visiting set only looks for links with the chunk's own.
+    Rows: leader, chunk, x, text, visits. A visiting set only looks for links with the chunk's own.
     """
     out = []
     for (leader, _), some in rows.groupby(["leader", "chunk"]):
         some = some.drop_duplicates(["x", "visits"])
         own = some[~some["visits"]]
-        keys, sets = own["x"].tolist(), [np.frombuffer(t, _U) for t in own["tokens"]]
+        keys = own["x"].tolist()
         if not keys or (len(keys) < 2 and len(some) == len(own)):
             continue
+        sets = [ordered(s, ranks) for s in shingle_sets(own["text"].tolist())]
         tree, joined = PrefixTree(sets), _Joined()
 
         def walk(x, probe):
@@ -377,8 +374,8 @@ def _join_chunks(rows: pd.DataFrame) -> pd.DataFrame:
         for i in sorted(range(len(keys)), key=lambda i: keys[i] != leader):
             if keys[i] == leader or joined.root(keys[i]) != joined.root(leader):
                 walk(keys[i], sets[i])
-        for x, tokens in some[some["visits"]][["x", "tokens"]].itertuples(index=False):
-            walk(x, np.frombuffer(tokens, _U))
+        for x, text in some[some["visits"]][["x", "text"]].itertuples(index=False):
+            walk(x, ordered(shingle_sets([text])[0], ranks))
         # A set that the leader does not reach is said to link with itself.
         out += [(leader, x, x) for x in keys if joined.root(x) != joined.root(leader)]
     return pd.DataFrame(out, columns=["leader", "u", "v"]).astype("int64")
@@ -403,46 +400,39 @@ def _filter(ids: DataFrame) -> np.ndarray:
     return bits.view(_U)
 
 
-def _full_sets(docs: DataFrame, wanted, rank) -> DataFrame:
-    """(x, tokens) of the documents whose bit is set; a few others may be among them, and meet nothing."""
+def _texts_of(docs: DataFrame, wanted) -> DataFrame:
+    """(_tag, text) of the documents whose bit is set; a few others may be among them, and meet nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, ranks = wanted.value, rank.value
+        bits = wanted.value
         for batch in batches:
             at = batch["hash"].to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
-            batch = batch[((bits[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool)]
-            for lo in range(0, len(batch), BATCH_DOCS):
-                part = batch.iloc[lo : lo + BATCH_DOCS]
-                sets = [ordered(s, ranks) for s in shingle_sets(part["text"].tolist())]
-                yield pd.DataFrame({"x": [set_key(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+            yield batch.loc[((bits[at >> 6] >> (at & 63).astype(_U)) & _U(1)).astype(bool), ["_tag", "text"]]
 
-    rows = docs.select(F.xxhash64("_tag").alias("hash"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInPandas(run, "x long, tokens binary")
+    rows = docs.select("_tag", F.xxhash64("_tag").alias("hash"), text_or_empty().cast("binary").alias("text"))
+    return rows.mapInPandas(run, "_tag string, text binary")
 
 
 def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFrame:
     """(u, v): links between set keys that connect exactly the components of all links."""
     spark = docs.sparkSession
     shingles = sets.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // 5
-    parts = max(1, -(-shingles // OWNED))
-    answers = _blobs(sets, parts).groupBy("part").applyInPandas(_shared, "batch long, tokens binary")
-    rows = sets.filter("n > 0").select("batch", "x", "n", "prefix")
+    parts, batches = (max(1, -(-shingles // most)) for most in (OWNED, SENT))
+    # One exchange by batch serves both the questions and their answers.
+    batch = F.pmod(F.xxhash64("x"), F.lit(batches)).alias("batch")
+    rows = sets.filter(F.length("prefix") > 0).select(batch, "x", "n", "central", "prefix")
+    asked = rows.groupBy("batch").applyInPandas(_blobs(parts), "part long, batch long, tokens binary, twice binary")
+    answers = asked.groupBy("part").applyInPandas(_shared, "batch long, tokens binary")
     having = scratch.keep(
         rows.groupBy("batch")
         .cogroup(answers.groupBy("batch"))
-        .applyInPandas(_members, "g long, x long, n long"),
+        .applyInPandas(_members, "g long, x long, n long, central double"),
         "having",
     )
-    several = having.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b")).filter("a < b").select("g")
-    having = having.join(several, "g", "left_semi")
-    k = F.expr("1 + ((4 * max(n) + 4) div 5) div 20")
-    enough = having.groupBy("x").agg(F.count("*").alias("has"), k.alias("k")).filter("has >= k").select("x")
-    central = sets.filter("n > 0").groupBy("x").agg(F.max("central").alias("central"))
-    having = scratch.keep(having.join(enough, "x", "left_semi").join(central, "x"), "having-enough")
     leaders = (
         having.groupBy("g")
-        .agg(F.max(F.struct("central", "x")).alias("top"), F.min("x").alias("a"), F.max("x").alias("b"))
-        .filter("a < b")
+        .agg(F.max(F.struct("central", "x")).alias("top"), F.count("*").alias("sets"))
+        .filter("sets > 1")
         .select("g", F.col("top.x").alias("leader"))
     )
     member = having.join(leaders, "g").groupBy("leader", "x").agg(F.max("n").alias("n"))
@@ -450,8 +440,7 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
     of = sets.filter("n > 0").groupBy("x").agg(F.min("_tag").alias("_tag"))
     wanted = scratch.keep(of.join(member.select("x").distinct(), "x", "left_semi"), "wanted")
     bits = spark.sparkContext.broadcast(_filter(wanted.select(F.xxhash64("_tag").alias("hash"))))
-    # Computed from the texts as they are sent, and not stored.
-    full = _full_sets(docs, bits, rank)
+    texts = _texts_of(docs, bits)
     size = member.groupBy("leader").agg(F.sum("n").alias("held"))
     # A chunk has room for its leader beside its own; every member has one chunk.
     chunks = size.select("leader", F.ceil(F.col("held") / F.lit(CHUNK)).alias("chunks"))
@@ -463,8 +452,15 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
     )
     placed = scratch.keep(placed, "chunks")
     total = member.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    carried = placed.join(full, "x").select("leader", "chunk", "x", "tokens", F.lit(False).alias("visits"))
-    found = scratch.keep(_dealt(carried, total).applyInPandas(_join_chunks, _EDGES), "links")
+
+    def join_chunks(rows: pd.DataFrame) -> pd.DataFrame:
+        return _join_chunks(rows, rank.value)
+
+    def carried(rows: DataFrame) -> DataFrame:
+        return rows.join(wanted, "x").join(texts, "_tag").select("leader", "chunk", "x", "text", "visits")
+
+    first = carried(placed.select("leader", "chunk", "x", F.lit(False).alias("visits")))
+    found = scratch.keep(_dealt(first, total).applyInPandas(join_chunks, _EDGES), "links")
     edges = found.filter("u <> v").select("u", "v")
 
     # Sets that the leader of a cluster of several chunks does not link visit its other chunks.
@@ -480,8 +476,7 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
         both = hosts.select("leader", "x", "chunk", F.lit(False).alias("visits")).union(
             visits.select("leader", "x", "chunk", F.lit(True).alias("visits"))
         )
-        carried = both.join(full, "x").select("leader", "chunk", "x", "tokens", "visits")
-        more = _dealt(carried, total + guests * 1000).applyInPandas(_join_chunks, _EDGES)
+        more = _dealt(carried(both), total + guests * 1000).applyInPandas(join_chunks, _EDGES)
         edges = edges.union(scratch.keep(more.filter("u <> v").select("u", "v"), "more-links"))
     return edges
 

@@ -412,6 +412,22 @@ def test_jaccard_components(documents, monkeypatch, chunk):
     assert sorted(map(tuple, found), key=repr) == sorted(brute_components(rows), key=repr)
 
 
+def test_copies_alone_are_no_candidates(spark, tmp_path, monkeypatch):
+    """Prefix shingles that only copies of one set have are not sent on, in whichever files the copies are."""
+    rows = [(100 * k + i, " ".join(f"w{i}x{j}" for j in range(40))) for k in range(3) for i in range(20)]
+    path, kept, keep = str(tmp_path / "copies"), {}, jaccard.Scratch.keep
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(path)
+
+    def noted(self, df, name):
+        kept[name] = keep(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", noted)
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.read.parquet(path)).collect()}
+    assert found == {d: d % 100 for d, _ in rows}
+    assert kept["having"].count() == 0
+
+
 def test_one_of_each_component_stays(documents):
     rows = near_copies()
     stay = jaccard.one_of_each_component(documents(rows))
