@@ -138,3 +138,9 @@ def test_charge_offs_plan_each_side_once_wide(wide_plan):
     assert len(re.findall(r"(?<!Reused)Exchange ", plan)) <= 18
     wide = [s for s in scans_of(plan, "fct_bad_debt_transfer_history") if "company_name" in s]
     assert len(wide) == 1
+
+
+@pytest.mark.parametrize("key", ["investigation_with_category", "recovery_charge_offs"])
+def test_the_ledger_behind_derived_tables_is_grouped_once(unbroadcast, key):
+    plan = plan_of(catalog.queries()[key](unbroadcast, DATA))
+    assert "l_partkey" not in plan  # a column of the ledger's source
