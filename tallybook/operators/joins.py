@@ -65,8 +65,7 @@ def left_join_repeating(
     if null_keys == "together":
         # Of a side that is only asked for distinct keys Spark leaves out the outer joins behind its other columns.
         keyed, known = keyed.distinct(), known.distinct()
-    both = keyed.withColumn("_left_only", F.lit(True)).unionByName(known.withColumn("_left_only", F.lit(False)))
-    missing = both.groupBy(*right_keys).agg(F.min("_left_only").alias("_left_only")).filter("_left_only")
+    missing = _left_only(keyed, known)
     keys_of = {r: k for (_, r), k in zip(on, right_keys)}
     nothing = {field.name: F.lit(None).cast(field.dataType).alias(field.name) for field in right.schema}
     payload = [name for name in right.columns if name not in keys_of]
@@ -87,6 +86,12 @@ def left_join_repeating(
     return joined.unionByName(left.filter(some_null).select("*", *nothing.values())) if null_keys == "apart" else joined
 
 
+def _left_only(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """The keys, once each, of the first that the second, of the same columns, does not have."""
+    both = keyed.withColumn("_left_only", F.lit(True)).unionByName(known.withColumn("_left_only", F.lit(False)))
+    return both.groupBy(*keyed.columns).agg(F.min("_left_only").alias("_left_only")).filter("_left_only").drop("_left_only")
+
+
 def _equal(on: Sequence[tuple[str, str]]) -> Column:
     condition = F.lit(True)
     for left_name, right_name in on:
@@ -135,8 +140,16 @@ def investigation_with_category(
     if how == "inner":
         named = links.join(categories, F.col("_balance_id") == F.col("_id"), "inner").drop("_id", "_balance_id")
         return investigations.join(named, F.col("id") == F.col("_investigation"), "inner").drop("_investigation")
-    named = left_join_spreading_nulls(links, categories, [("_balance_id", "_id")]).drop("_id", "_balance_id")
-    return left_join_repeating(investigations, named, [("id", "_investigation")], null_keys="never").drop("_investigation")
+    # Investigations without a link get one to no balance before the balances are joined, so each of the joins is planned once.
+    error = F.raise_error(F.lit("an id of an investigation is NULL"))
+    asked = investigations.select(F.when(F.col("id").isNull(), error).otherwise(F.col("id")).alias("_investigation"))
+    links = links.dropna(subset=["_investigation"])
+    unlinked = _left_only(asked, links.select("_investigation")).withColumn(
+        "_balance_id", F.lit(None).cast(links.schema["_balance_id"].dataType)
+    )
+    completed = links.unionByName(unlinked)
+    named = left_join_spreading_nulls(completed, categories, [("_balance_id", "_id")]).drop("_id", "_balance_id")
+    return investigations.join(named, F.col("id") == F.col("_investigation"), "inner").drop("_investigation")
 
 
 def polymorphic_join(

@@ -140,6 +140,11 @@ def test_charge_offs_plan_each_side_once_wide(wide_plan):
     assert len(wide) == 1
 
 
+def test_categories_of_investigations_are_joined_once(wide_plan):
+    plan = wide_plan("investigation_with_category")
+    assert len(scans_of(plan, "payment_event_balances")) == 1
+
+
 @pytest.mark.parametrize("key", ["investigation_with_category", "recovery_charge_offs"])
 def test_the_ledger_behind_derived_tables_is_grouped_once(unbroadcast, key):
     plan = plan_of(catalog.queries()[key](unbroadcast, DATA))
