@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm import byte_bpe
-from tallybook.llm.common import Scratch, ship
+from tallybook.llm.common import Scratch, held, ship
 
 # Links whose distinct pairs are emitted together, and the most documents of a block.
 BLOCK_LINKS = 2_000_000
@@ -127,14 +127,9 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return last + 1, over_a[last] + 1
 
 
-_LOADED: dict[tuple[str, str], Aligner] = {}
-
-
 def loaded(byte_path: str, piece_path: str) -> Aligner:
     """This Python worker's tokenizers."""
-    if (byte_path, piece_path) not in _LOADED:
-        _LOADED[byte_path, piece_path] = Aligner(byte_path, piece_path)
-    return _LOADED[byte_path, piece_path]
+    return held(("alignment", byte_path, piece_path), lambda: Aligner(byte_path, piece_path))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:

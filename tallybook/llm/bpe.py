@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import ship
+from tallybook.llm.common import held, ship
 
 KNOWN = 200_000
 # Texts whose new words share a trie; a batch of very long texts is cut by Spark's limit on bytes.
@@ -240,14 +240,9 @@ class Encoder:
         return out
 
 
-_LOADED: dict[str, Encoder] = {}
-
-
 def loaded(path: str) -> Encoder:
-    """This Python worker's encoder; what it has learned serves its later tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    """This Python worker's encoder; what it has learned serves its later tasks, until another operator's begin."""
+    return held(("bpe", path), lambda: Encoder(path))
 
 
 def _sha256(text: str) -> str:

@@ -11,6 +11,8 @@ import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from tallybook.llm.common import held
+
 # The pattern that byte-level BPE splits texts by: fixed value of that format.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -54,11 +56,6 @@ class ByteBpe:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-_LOADED: dict[tuple[str, bool], ByteBpe] = {}
-
-
 def loaded(path: str, special: bool = True) -> ByteBpe:
     """This Python worker's encoder."""
-    if (path, special) not in _LOADED:
-        _LOADED[path, special] = ByteBpe(path, special)
-    return _LOADED[path, special]
+    return held(("byte_bpe", path, special), lambda: ByteBpe(path, special))

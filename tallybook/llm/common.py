@@ -5,6 +5,7 @@ import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,13 +57,33 @@ def unused_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-# Rows that Python tasks get at a time: some MB of text.
+# Rows that Python tasks get at a time, and bytes of them: some MB of text, also where texts are long.
 ARROW_ROWS = 2000
+ARROW_BYTES = 4 << 20
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """What this Python worker keeps for its later tasks, made if need be: one thing at a time.
+
+    Spark hands a worker on to the tasks of other operators; what the one before has learned would stay beside theirs.
+    """
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Let go of what another operator's tasks have left in this Python worker. A task that holds nothing begins with this."""
+    _HELD.clear()
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's code, once for each Spark context, and keep the batches of Python tasks small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     context = spark.sparkContext
     if getattr(context, "_tallybook_shipped", False):
         return

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import Scratch, ship, tagged, text_or_empty, unused_name
+from tallybook.llm.common import Scratch, release, ship, tagged, text_or_empty, unused_name
 
 WORDS = 5
 COUNT_BITS = 22
@@ -41,8 +41,8 @@ SENT = 250_000
 CHUNK = 400_000
 TASK = 1_000_000
 # Bytes of text hashed at once.
-PIECE = 1 << 20
-BATCH_DOCS = 2000
+PIECE = 1 << 18
+BATCH_DOCS = 500
 
 _U = np.uint64
 
@@ -149,10 +149,11 @@ def frequency_ranks(docs: DataFrame) -> np.ndarray:
     slices, width = 64, (1 << COUNT_BITS) // 64
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         table = np.zeros(1 << COUNT_BITS, np.uint32)
         for batch in batches:
-            sets = shingle_sets(batch["text"].tolist())
-            if sets:
+            for at in range(0, len(batch), BATCH_DOCS):
+                sets = shingle_sets(batch["text"].iloc[at : at + BATCH_DOCS].tolist())
                 np.add.at(table, (np.concatenate(sets) >> _U(64 - COUNT_BITS)).astype(np.int64), 1)
         kind = next(k for k in (np.uint8, np.uint16, np.uint32) if table.max() <= np.iinfo(k).max)
         parts = [zlib.compress(p.tobytes(), 1) for p in table.astype(kind).reshape(slices, width)]
@@ -201,6 +202,7 @@ def _prefixes(docs: DataFrame, rank) -> DataFrame:
     """For every row: doc_id, its place, the set's size, key and centrality, and its prefix, which a task gives once of equal sets."""
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         ranks, given = rank.value, set()
         for texts in columns:
             rows = []
@@ -404,6 +406,7 @@ def _texts_of(docs: DataFrame, wanted) -> DataFrame:
     """(_tag, text) of the documents whose bit is set; a few others may be among them, and meet nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         bits = wanted.value
         for batch in batches:
             at = batch["hash"].to_numpy(np.int64) & ((1 << FILTER_BITS) - 1)
@@ -454,6 +457,7 @@ def _edges(docs: DataFrame, sets: DataFrame, rank, scratch: Scratch) -> DataFram
     total = member.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     def join_chunks(rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         return _join_chunks(rows, rank.value)
 
     def carried(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import ship
+from tallybook.llm.common import release, ship
 
 DOCUMENTS_EACH = 120
 WORDS_EACH = 250
@@ -238,6 +238,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        release()
         model = shared.value
         for texts in columns:
             parts = [_labelled(model, texts.iloc[i : i + 256]) for i in range(0, len(texts), 256)]
@@ -274,6 +275,7 @@ def in_a_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         model = shared.value
         for texts in columns:
             parts = [_labelled(model, texts.iloc[i : i + 256]) for i in range(0, len(texts), 256)]

@@ -5,6 +5,8 @@ import hashlib
 import math
 import random
 import re
+import types
+import weakref
 import zlib
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql.functions import col as c
 from tokenizers import Tokenizer
 
 from tallybook.llm import bpe, chat, exact_dedup, jaccard, language, licences, mixing, nearest, pages, sharding
-from tallybook.llm.common import tagged
+from tallybook.llm.common import ARROW_BYTES, ship, tagged
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
@@ -599,3 +601,38 @@ def test_groups_come_from_the_index(documents, monkeypatch):
     links = exact_dedup._links
     monkeypatch.setattr(exact_dedup, "_links", lambda *a: links(*a).filter("false"))
     assert exact_dedup.exact_duplicates(documents([(1, "a"), (2, "a")])).count() == 0
+
+
+def python_functions(monkeypatch, build):
+    """What ``build`` gives to Python tasks, called here on one batch of texts."""
+    found, make = [], functions.pandas_udf
+    monkeypatch.setattr(functions, "pandas_udf", lambda f, kind: found.append(f) or make(f, kind))
+    build()
+    return found
+
+
+def test_an_encoder_goes_when_another_operator_takes_its_worker(documents, monkeypatch):
+    docs, rank = documents([(1, "one two", "en"), (2, "eins zwei", "de")]), types.SimpleNamespace(value=np.zeros(1 << jaccard.COUNT_BITS, np.uint8))
+    builds = {
+        "language": lambda: language.in_a_language(documents([(i, "one two" if i % 2 else "eins zwei", "en" if i % 2 else "de") for i in range(40)])),
+        "jaccard": lambda: jaccard._prefixes(tagged(docs), rank),
+    }
+    for name, build in builds.items():
+        run = python_functions(monkeypatch, build)[-1]
+        encoder = bpe.loaded(PATH)
+        encoder.learn({"one"})
+        assert bpe.loaded(PATH) is encoder, "its own tasks share it"
+        left = weakref.ref(encoder)
+        del encoder
+        texts = pd.Series(["one two"]) if name == "language" else pd.Series([b"one two"])
+        assert len(next(iter(run(iter([texts]))))) == 1
+        assert left() is None, name
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark, table):
+    ship(spark)
+    size = ARROW_BYTES // 8
+    docs = table([(i, "x" * size) for i in range(40)], "doc_id long, text string").coalesce(1)
+    batches = docs.mapInPandas(lambda parts: (pd.DataFrame({"n": [p["text"].str.len().sum()]}) for p in parts), "n long")
+    sizes = [r.n for r in batches.collect()]
+    assert sum(sizes) == 40 * size and max(sizes) <= ARROW_BYTES + size
